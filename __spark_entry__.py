@@ -112,9 +112,7 @@ def count_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def archived(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_dir(spark, "archive")
-    messages = bulk(messages_of(spark, sf_dir))
-    templates = catalog.template_catalog(mine.mine_templates(messages.select("chunk_id", "seq", "message")))
-    archive.write_archive(records_of(messages), templates, path)
+    archive.write_archive(bulk_records(spark, sf_dir), path)
     return path
 
 

@@ -36,9 +36,12 @@ def live_rows(messages: DataFrame) -> DataFrame:
 
 
 def live_tail(messages: DataFrame, n: int = TAIL) -> DataFrame:
-    """The ``n`` newest lines. Each task keeps only its own newest ``n``."""
-    newest = [F.desc("received_at"), F.desc("seq"), F.desc("node_id")]
-    return live_rows(messages.orderBy(*newest).limit(n))
+    """The ``n`` newest lines. Each task keeps only its own newest ``n``.
+
+    The limit comes last: below computed columns Spark would sort the whole table for it.
+    """
+    newest = [F.desc("received_at"), F.desc("seq"), F.desc("node")]
+    return live_rows(messages).orderBy(*newest).limit(n)
 
 
 def live_search(messages: DataFrame, text: str) -> DataFrame:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logtables.operators.catalog import new_templates, template_catalog
 from logtables.operators.chunks import LIVE_CHUNK, assign_chunks
 from logtables.operators.mine import extract_variables, mine_templates
 from logtables.operators.parse import quarantine, to_messages
-from logtables.sources.archive import RECORDS, TEMPLATES, write_batch, write_records
+from logtables.sources.archive import write_archive, write_batch
 from logtables.sources.lines import BY_TIME, number_lines, read_lines
 
 REJECTS = "rejects"
@@ -19,21 +18,6 @@ def records_of(chunked: DataFrame) -> DataFrame:
     return extract_variables(mine_templates(chunked))
 
 
-def archive_messages(
-    chunked: DataFrame, archive: str, batch_id: int | str, earlier: DataFrame | None = None
-) -> None:
-    """Mine, write records, then add the patterns that ``earlier`` lacks to the catalog.
-
-    The catalog is taken from the written records, so mining runs once.
-    """
-    spark = chunked.sparkSession
-    records = records_of(chunked)
-    write_records(records, archive, batch_id)
-    written = spark.read.schema(records.schema).parquet(f"{archive}/{RECORDS}/batch_id={batch_id}")
-    fresh = template_catalog(written) if earlier is None else new_templates(written, earlier)
-    write_batch(fresh.hint("rebalance"), f"{archive}/{TEMPLATES}", batch_id)
-
-
 def ingest_batch(
     spark: SparkSession,
     landing: str,
@@ -53,4 +37,4 @@ def ingest_batch(
     messages = to_messages(lines)
     write_batch(messages, f"{work}/messages", batch_id)
     staged = spark.read.schema(messages.schema).parquet(f"{work}/messages/batch_id={batch_id}")
-    archive_messages(assign_chunks(staged, n), archive, batch_id)
+    write_archive(records_of(assign_chunks(staged, n)), archive, batch_id)

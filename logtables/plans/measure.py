@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from logtables.operators.catalog import template_catalog
 from logtables.operators.chunks import BULK_CHUNK, chunk_by_line
 from logtables.operators.parse import to_messages
 from logtables.operators.report import size_report
@@ -14,9 +13,6 @@ from logtables.sources.archive import read_archive, write_archive
 
 def measure_archive(lines: DataFrame, archive: str, n: int = BULK_CHUNK) -> DataFrame:
     """Archive numbered lines in chunks of ``n`` input lines and report sizes."""
-    messages = to_messages(lines)
-    chunked = chunk_by_line(messages, n)
-    catalog = template_catalog(records_of(chunked.select("chunk_id", "seq", "message")))
-    write_archive(records_of(chunked), catalog, archive)
+    write_archive(records_of(chunk_by_line(to_messages(lines), n)), archive)
     records, _ = read_archive(lines.sparkSession, archive)
     return size_report(lines, records, archive)

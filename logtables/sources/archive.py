@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logtables.operators.catalog import new_templates, template_catalog
+
 # Compression of the archive.
 CODEC = {"compression": "zstd", "parquet.compression.codec.zstd.level": "3"}
 
@@ -37,8 +39,17 @@ def write_records(records: DataFrame, path: str, batch_id: int | str) -> None:
     write_batch(sorted_records, f"{path}/{RECORDS}", batch_id, ["date"])
 
 
-def write_archive(records: DataFrame, templates: DataFrame, path: str, batch_id: int | str = 0) -> None:
+def write_archive(
+    records: DataFrame, path: str, batch_id: int | str = 0, known: DataFrame | None = None
+) -> None:
+    """Write the records of a batch, then add the patterns that ``known`` lacks to the catalog.
+
+    The catalog is taken from the written records, so whatever made them runs once.
+    """
     write_records(records, path, batch_id)
+    schema = records.schema
+    written = records.sparkSession.read.schema(schema).parquet(f"{path}/{RECORDS}/batch_id={batch_id}")
+    templates = template_catalog(written) if known is None else new_templates(written, known)
     write_batch(templates.hint("rebalance"), f"{path}/{TEMPLATES}", batch_id)
 
 

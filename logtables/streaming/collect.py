@@ -13,8 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logtables.operators.chunks import LIVE_CHUNK, position_within
 from logtables.operators.parse import quarantine, to_messages
-from logtables.plans.ingest import REJECTS, archive_messages
-from logtables.sources.archive import TEMPLATES, read_table, write_batch
+from logtables.plans.ingest import REJECTS, records_of
+from logtables.sources.archive import TEMPLATES, read_table, write_archive, write_batch
 from logtables.sources.lines import BY_TIME, number_lines, with_position
 
 LINES, MESSAGES, PROGRESS, FLUSHED = "lines", "messages", "progress", "flushed"
@@ -89,7 +89,7 @@ def collect_batch(
     write_batch(staged, f"{work}/{MESSAGES}", batch_id, ["whole"])
     ready = _batch(spark, f"{work}/{MESSAGES}", batch_id, staged.schema)
     known = None if batch_id == 0 else known_templates(spark, archive, batch_id - 1)
-    archive_messages(ready.where("whole").drop("whole"), archive, batch_id, known)
+    write_archive(records_of(ready.where("whole").drop("whole")), archive, batch_id, known)
 
 
 def known_templates(spark: SparkSession, archive: str, last: int, without: str = "") -> DataFrame:
@@ -104,7 +104,7 @@ def flush_waiting(spark: SparkSession, archive: str, work: str, batch_id: int) -
     staged = spark.read.parquet(f"{work}/{MESSAGES}/batch_id={batch_id}")
     waiting = staged.where(~F.col("whole")).drop("whole")
     name = f"{batch_id}-rest"
-    archive_messages(waiting, archive, name, known_templates(spark, archive, batch_id, without=name))
+    write_archive(records_of(waiting), archive, name, known_templates(spark, archive, batch_id, without=name))
     write_batch(waiting.select(F.col("node_id").alias("node")).distinct(), f"{work}/{FLUSHED}", batch_id)
 
 
