@@ -126,7 +126,7 @@ def read_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         "chunk_id",
         "seq",
         "node_id",
-        micros("event_ts", "event_us"),
+        F.unix_millis("event_ts").alias("event_ms"),
         "priority",
         *HEADER,
         "is_rfc5424",

@@ -20,7 +20,8 @@ UNKNOWN = "UNKNOWN"
 
 TEMPLATES = "array<struct<tokens:array<string>,opened:int>>"
 BLOCK = 16
-WILDCARD_TOKEN = r"(?<![^ ])<\*>(?![^ ])"
+# A wildcard between blanks or ends. The literal comes first, so that other text is passed over fast.
+WILDCARD_TOKEN = r"<\*>(?<![^ ]<\*>)(?![^ ])"
 
 
 def _named(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -120,12 +121,11 @@ def wildcard_count(pattern: Column) -> Column:
 def filled(pattern: Column, variables: Column) -> Column:
     """Put the variables into the wildcard positions of ``pattern``, by position.
 
-    A wildcard without a variable stays.
+    A wildcard without a variable stays; surplus variables are ignored.
     """
     pieces = F.split(pattern, WILDCARD_TOKEN)
-    last = wildcard_count(pattern)
-    following = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda k: F.when(k < last, F.coalesce(F.get(variables, k), F.lit(WILDCARD))).otherwise(F.lit("")),
-    )
-    return F.array_join(F.zip_with(pieces, following, lambda piece, value: F.concat(piece, value)), "")
+    gaps = F.size(pieces) - 1
+    padded = F.concat(variables, F.array_repeat(F.lit(WILDCARD), gaps))
+    values = F.when(F.size(variables) == gaps, variables).otherwise(F.slice(padded, F.lit(1), gaps))
+    joined = F.zip_with(pieces, values, lambda piece, value: F.concat(piece, F.coalesce(value, F.lit(""))))
+    return F.array_join(joined, "")

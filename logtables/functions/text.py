@@ -26,3 +26,13 @@ def tokens(text: Column) -> Column:
 def contains_ignoring_case(text: Column, needle: str) -> Column:
     """Literal, case-insensitive substring test."""
     return F.contains(F.lower(text), F.lower(F.lit(needle)))
+
+
+def once(value: Column) -> Column:
+    """``value``, computed once per row however often the new column is used.
+
+    Spark copies a plain expression into the filters and projections above it, which would run a
+    regular expression once per use; it does not copy a generator. Use as a whole output column, and
+    only where the column is always needed: a generator is not pruned either.
+    """
+    return F.explode(F.array(value))

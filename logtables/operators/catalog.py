@@ -13,19 +13,17 @@ from logtables.functions.templates import template_key, wildcard_count
 
 
 def template_catalog(mined: DataFrame) -> DataFrame:
-    """One row per pattern: key, token and wildcard counts, first line, number of lines."""
+    """One row per pattern of mined messages or records: key, token and wildcard counts, first line,
+    number of lines."""
+    pattern = F.col("pattern")
     return (
         mined.groupBy("pattern")
-        .agg(
-            F.first("token_count").alias("token_count"),
-            F.min("opened_seq").alias("first_seq"),
-            F.count("*").alias("n_lines"),
-        )
+        .agg(F.min("seq").alias("first_seq"), F.count("*").alias("n_lines"))
         .select(
-            template_key(F.col("pattern")).alias("template_key"),
+            template_key(pattern).alias("template_key"),
             "pattern",
-            "token_count",
-            wildcard_count(F.col("pattern")).alias("n_wildcards"),
+            F.when(pattern == "", 0).otherwise(F.size(F.split(pattern, " "))).alias("token_count"),
+            wildcard_count(pattern).alias("n_wildcards"),
             "first_seq",
             "n_lines",
         )

@@ -12,7 +12,7 @@ from logtables.functions.templates import (
     template_key,
     variables_of,
 )
-from logtables.functions.text import tokens
+from logtables.functions.text import once, tokens
 
 
 def tokenize(messages: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def mine_templates(messages: DataFrame, threshold: float = THRESHOLD) -> DataFra
 def extract_variables(mined: DataFrame) -> DataFrame:
     """Records: the message text is replaced by its template and the tokens at its wildcards."""
     variables = variables_of(F.col("tokens"), F.col("pattern_tokens"))
-    return mined.withColumn("variables", variables).drop("message", "tokens", "pattern_tokens")
+    return mined.withColumn("variables", once(variables)).drop("message", "tokens", "pattern_tokens")
 
 
 def chunk_template_ids(mined: DataFrame, imported: DataFrame | None = None) -> DataFrame:

@@ -10,23 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtables.functions import syslog
-from logtables.functions.text import trimmed
+from logtables.functions.text import once, trimmed
 
 TO_END = 2147483647
 
 
 def _read_fields(lines: DataFrame) -> DataFrame:
-    """Add ``text`` (the trimmed line), ``is_rfc5424`` and ``field`` (the cut line).
-
-    ``explode`` of a one-element array keeps the optimizer from copying the regular expression into
-    the filters above, which would run it once per use instead of once per line.
-    """
+    """Add ``text`` (the trimmed line), ``is_rfc5424`` and ``field`` (the cut line)."""
     text = F.col("text")
     fields = F.when(F.col("is_rfc5424"), syslog.fields_5424(text)).otherwise(syslog.fields_3164(text))
     return (
         lines.withColumn("text", trimmed(F.col("line")))
         .withColumn("is_rfc5424", syslog.is_structured(text))
-        .withColumn("field", F.explode(F.array(fields)))
+        .withColumn("field", once(fields))
     )
 
 

@@ -12,8 +12,29 @@ from pyspark.sql import functions as F
 
 from logtables.operators.catalog import new_templates, template_catalog
 
-# Compression of the archive.
-CODEC = {"compression": "zstd", "parquet.compression.codec.zstd.level": "3"}
+# Compression of the archive, columns of a record.
+CODEC = {
+    "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "3",
+    "parquet.writer.version": "PARQUET_2_0",
+}
+STORED = [
+    "chunk_id",
+    "seq",
+    "event_ms",
+    "ts_source",
+    "priority",
+    "hostname",
+    "app_name",
+    "procid",
+    "msgid",
+    "structured_data",
+    "node_id",
+    "is_rfc5424",
+    "template_key",
+    "pattern",
+    "variables",
+]
 
 RECORDS, TEMPLATES = "records", "templates"
 
@@ -27,15 +48,15 @@ def write_batch(table: DataFrame, path: str, batch_id: int | str, partition_by:
 
 
 def write_records(records: DataFrame, path: str, batch_id: int | str) -> None:
-    """Write records by day of arrival, sorted by template.
+    """Write records by day of arrival, sorted by template; event times in milliseconds.
 
-    ``rebalance`` lets Spark split a day or template that holds most rows and merge small
-    partitions, so files have a good size either way.
+    ``rebalance`` gathers a day, so that a batch writes few files, and lets Spark split a day that
+    holds most rows.
     """
-    dated = records.withColumn("date", F.to_date("received_at"))
-    sorted_records = dated.hint("rebalance", "date", "template_key").sortWithinPartitions(
-        "date", "template_key", "event_ts", "seq"
+    stored = records.withColumn("event_ms", F.unix_millis("event_ts")).select(
+        F.to_date("received_at").alias("date"), *STORED
     )
+    sorted_records = stored.hint("rebalance", "date").sortWithinPartitions("date", "template_key", "seq")
     write_batch(sorted_records, f"{path}/{RECORDS}", batch_id, ["date"])
 
 
@@ -47,8 +68,9 @@ def write_archive(
     The catalog is taken from the written records, so whatever made them runs once.
     """
     write_records(records, path, batch_id)
-    schema = records.schema
-    written = records.sparkSession.read.schema(schema).parquet(f"{path}/{RECORDS}/batch_id={batch_id}")
+    written = records.sparkSession.read.schema("seq long, pattern string").parquet(
+        f"{path}/{RECORDS}/batch_id={batch_id}"
+    )
     templates = template_catalog(written) if known is None else new_templates(written, known)
     write_batch(templates.hint("rebalance"), f"{path}/{TEMPLATES}", batch_id)
 
@@ -59,7 +81,9 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 def read_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``records`` and ``templates`` of all batches."""
-    return read_table(spark, path, RECORDS), read_table(spark, path, TEMPLATES)
+    records = read_table(spark, path, RECORDS)
+    records = records.withColumn("event_ts", F.timestamp_millis("event_ms")).drop("event_ms")
+    return records, read_table(spark, path, TEMPLATES)
 
 
 def archived_bytes(spark: SparkSession, path: str) -> DataFrame:

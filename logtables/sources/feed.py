@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logtables.functions.syslog import iso_time
+from logtables.functions.text import once
 
 # The fields of a feed object, in order.
 FEED_FIELDS = [
@@ -27,7 +28,7 @@ FEED_FIELDS = [
 def known_time(messages: DataFrame) -> DataFrame:
     """Add ``shown_ts``: the event time, but null for an RFC 5424 line without one."""
     unknown = F.col("is_rfc5424") & (F.col("ts_source") == "received")
-    return messages.withColumn("shown_ts", F.when(~unknown, F.col("event_ts")))
+    return messages.withColumn("shown_ts", once(F.when(~unknown, F.col("event_ts"))))
 
 
 def to_json_feed(messages: DataFrame) -> DataFrame:

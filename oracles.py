@@ -195,7 +195,7 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN kind = 'octet' THEN regexp_extract(line, '(?s)^[0-9]+ (.*)$', 1) ELSE line END AS line FROM kinds""",
         "count_kinds": f"WITH {LINES},{FRAMED} SELECT node_id, kind, count(*) AS n_lines FROM kinds GROUP BY ALL",
         "write_archive": f"{BULK_MINED},{CATALOG} SELECT * FROM catalog",
-        "read_archive": f"""{BULK_RECORDS} SELECT chunk_id, seq, node_id, epoch_us(event_ts) AS event_us, priority, {HEADER},
+        "read_archive": f"""{BULK_RECORDS} SELECT chunk_id, seq, node_id, epoch_us(event_ts) // 1000 AS event_ms, priority, {HEADER},
             is_rfc5424, template_key, pattern, {VARIABLES} FROM records""",
         "to_json_feed": f"""{messages} SELECT CAST(to_json(struct_pack(priority := priority, facility := facility, severity := severity,
             "timestamp" := {iso('shown_ts')} || 'Z', hostname := hostname, app_name := app_name, procid := procid, msgid := msgid,
