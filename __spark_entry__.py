@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracles  # noqa: E402
-from logtables.functions.templates import template_key  # noqa: E402
+from logtables.functions.templates import key_of  # noqa: E402
 from logtables.operators import catalog, chunks, encode, live, mine, parse, query, report  # noqa: E402
 from logtables.plans.ingest import ingest_batch, records_of  # noqa: E402
 from logtables.plans.measure import measure_archive  # noqa: E402
@@ -293,8 +293,7 @@ def times_from_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, _ = archive.read_archive(spark, archived(spark, sf_dir))
-    key = spark.range(1).select(template_key(F.lit(FAILURE_PATTERN))).first()[0]
-    return query.filter_template(records, key).select("chunk_id", "seq", "priority", joined("variables"))
+    return query.filter_template(records, key_of(FAILURE_PATTERN)).select("chunk_id", "seq", "priority", joined("variables"))
 
 
 def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,8 +323,7 @@ def render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_archived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.range(1).select(template_key(F.lit(FAILURE_PATTERN))).first()[0]
-    return query_archive(spark, archived(spark, sf_dir), key, "HOST1").select("seq", "rendered")
+    return query_archive(spark, archived(spark, sf_dir), key_of(FAILURE_PATTERN), "HOST1").select("seq", "rendered")
 
 
 def roundtrip_check(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from logtables.functions.text import with_value
+
 # Line grammars, severity names, time format. Possessive quantifiers, because a field
 # once read is never given back.
 STRUCTURED_FORMAT = r"^[^>]*>[0-9]"
@@ -66,18 +68,19 @@ def rfc3339_time(text: Column) -> Column:
     offsets are applied by arithmetic, since a cast stops at 18 hours.
     """
 
-    def part(group: int) -> Column:
-        return F.regexp_extract(text, RFC3339, group)
-
-    leap = part(3) == "60"
-    seconds = F.when(leap, "59").otherwise(part(3))
-    local = F.concat(part(1), F.lit("T"), part(2), F.lit(":"), seconds, part(4), F.lit("Z"))
-    hours, minutes = part(6).try_cast("bigint"), part(7).try_cast("bigint")
-    offset = F.when(hours < 24, F.when(part(5) == "+", 1).otherwise(-1) * (hours * 3600 + minutes * 60))
-    shift = F.when(leap, 1).otherwise(0) - F.when(part(5) == "", 0).otherwise(offset)
-    shifted = F.timestamp_micros(F.unix_micros(local.try_cast("timestamp")) + shift * 1_000_000)
+    def from_parts(part: Column) -> Column:
+        leap = part[1] == "60"
+        seconds = F.when(leap, "59").otherwise(part[1])
+        local = F.concat(part[0], F.lit(":"), seconds, part[2], F.lit("Z")).try_cast("timestamp")
+        hours, minutes = part[4].try_cast("bigint"), part[5].try_cast("bigint")
+        sign = F.when(part[3] == "+", 1).otherwise(-1)
+        offset = F.when(part[3] == "", 0).otherwise(F.when(hours < 24, sign * (hours * 3600 + minutes * 60)))
+        shift = F.when(leap, 1).otherwise(0) - offset
+        return F.timestamp_micros(F.unix_micros(local) + shift * 1_000_000)
+
+    parts = F.split(F.regexp_replace(text, F.lit(RFC3339), F.lit("$1T$2 $3 $4 $5 $6 $7")), " ")
     return F.when(text.rlike(RFC3339_PLAIN), F.upper(text).try_cast("timestamp")).when(
-        text.rlike(RFC3339), shifted
+        text.rlike(RFC3339), with_value(parts, from_parts)
     )
 
 

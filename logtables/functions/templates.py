@@ -8,11 +8,13 @@ caller bounds the array.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from logtables.functions.text import with_value
+
 # Wildcard token, share of positions that must agree, text for an unknown template.
 WILDCARD = "<*>"
 THRESHOLD = 0.5
@@ -24,11 +26,6 @@ BLOCK = 16
 WILDCARD_TOKEN = r"<\*>(?<![^ ]<\*>)(?![^ ])"
 
 
-def _named(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once however often ``body`` uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _similar(template: Column, words: Column, threshold: float) -> Column:
     hits = F.filter(template, lambda token, i: (token == WILDCARD) | (token == F.get(words, i)))
     return F.size(hits) >= F.size(template) * threshold
@@ -76,9 +73,9 @@ def mined_group(lines: Column, threshold: float = THRESHOLD) -> Column:
             similar = F.transform(templates, lambda t: _similar(t.getField("tokens"), words, threshold))
             return F.array_position(similar, F.lit(True))
 
-        return _named(
+        return with_value(
             F.get(lines, i).getField("tokens"),
-            lambda words: _named(first_hit(words), lambda hit: placed(words, hit)),
+            lambda words: with_value(first_hit(words), lambda hit: placed(words, hit)),
         )
 
     last = F.size(lines) - 1
@@ -109,6 +106,11 @@ def template_key(pattern: Column) -> Column:
     return F.md5(pattern)
 
 
+def key_of(pattern: str) -> str:
+    """The key of a given pattern, for filters."""
+    return hashlib.md5(pattern.encode()).hexdigest()
+
+
 def variables_of(tokens: Column, template: Column) -> Column:
     """The tokens at the wildcard positions of ``template``, in order."""
     return F.filter(tokens, lambda token, i: F.get(template, i) == WILDCARD)

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 BY_TIME = ["received_at", "source"]
 BY_NAME = ["source"]
 
+# About 200 bytes a row, so at most some 200 MB.
+BROADCAST_BLOCKS = 1_000_000
+
 
 def _line_columns() -> list[Column]:
     node = F.regexp_extract("_metadata.file_path", r"/node_id=([^/]+)/", 1)
@@ -52,17 +55,23 @@ def number_lines(lines: DataFrame, staging: str, file_order: list[str] = BY_TIME
     """Give the lines of each node consecutive numbers ``seq`` in arrival order: by file, then line.
 
     Block positions are only comparable within one evaluation of the source, so the lines are
-    written once to the table ``staging`` and numbered from there. The offsets have one row per
-    block of a file (128 MB by default), not per line.
+    written once to the table ``staging`` and numbered from there. The offsets, one row per block of a
+    file (128 MB by default), are written beside it. They are broadcast up to a checked number of
+    rows, which spares a shuffle of the text; beyond it Spark chooses the join.
     """
-    lines.write.mode("overwrite").parquet(staging)
-    staged = lines.sparkSession.read.schema(lines.schema).parquet(staging)
+    spark = lines.sparkSession
+    lines.write.mode("overwrite").parquet(f"{staging}/lines")
+    staged = spark.read.schema(lines.schema).parquet(f"{staging}/lines")
     blocks = staged.groupBy("node_id", "received_at", "source", "block").agg(
         F.count("*").alias("n"), F.min("position").alias("first")
     )
     earlier = W.partitionBy("node_id").orderBy(*file_order, "block")
     before = F.coalesce(F.sum("n").over(earlier.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = blocks.select("source", "block", (before - F.col("first")).alias("offset"))
+    offsets.write.mode("overwrite").parquet(f"{staging}/offsets")
+    offsets = spark.read.schema(offsets.schema).parquet(f"{staging}/offsets")
+    if offsets.count() <= BROADCAST_BLOCKS:
+        offsets = F.broadcast(offsets)
     return staged.join(offsets, ["source", "block"]).select(
         (F.col("offset") + F.col("position")).alias("seq"), "received_at", "node_id", "line"
     )

@@ -51,9 +51,8 @@ def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def land_lines(lines: DataFrame, path: str) -> None:
     """Write lines as text below ``node_id=<node>/``, in order of ``seq`` within and across files."""
-    parts = max(1, lines.sparkSession.sparkContext.defaultParallelism)
     (
-        lines.repartitionByRange(parts, "seq")
+        lines.repartitionByRange("seq")
         .sortWithinPartitions("node_id", "seq")
         .select("node_id", "line")
         .write.partitionBy("node_id")

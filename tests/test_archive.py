@@ -55,6 +55,20 @@ def test_batches_add_up_and_a_repeated_batch_adds_nothing(spark, tmp_path, recor
     assert known.count() == records.select("pattern").distinct().count()
 
 
+def test_a_day_with_most_rows_is_split_and_a_small_batch_is_not(spark, tmp_path, records):
+    one_day = records.withColumn("received_at", F.lit(dt.datetime(2024, 1, 1)))
+    archive.write_records(one_day, str(tmp_path / "whole"), 0)
+    assert len(list((tmp_path / "whole").rglob("*.parquet"))) == 1
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "16KB")
+    try:
+        archive.write_records(one_day.repartition(8), str(tmp_path / "split"), 0)
+    finally:
+        spark.conf.set(setting, before)
+    assert len(list((tmp_path / "split").rglob("*.parquet"))) > 3
+
+
 def test_one_record_with_its_pool(spark):
     line = "<34>1 2024-01-01T00:00:00Z testhost testapp - - - Something happened"
     lines = spark.createDataFrame([(0, dt.datetime(2024, 1, 1), None, line)], "seq long, received_at timestamp, node_id string, line string")
@@ -153,7 +167,7 @@ def test_roundtrip_counts_what_differs(messages, records):
     assert query.roundtrip_check(messages, swapped).first().n_different == 1
 
 
-def test_files_are_numbered_line_by_line_whatever_the_split(spark, tmp_path):
+def test_files_are_numbered_line_by_line_whatever_the_split(spark, tmp_path, monkeypatch):
     texts = {node: [f"<1>Oct 1 00:00:00 h {node} {i} " + "x" * (i % 50) for i in range(2000)] for node in ("a", "b")}
     for node, rows in texts.items():
         folder = tmp_path / f"node_id={node}"
@@ -162,7 +176,8 @@ def test_files_are_numbered_line_by_line_whatever_the_split(spark, tmp_path):
             (folder / f"part-{k}.log").write_text("\n".join(rows[k * 700 : (k + 1) * 700]) + "\n")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
-        for size in ("7000", "40000", before):
+        for size, broadcast in (("7000", 1_000_000), ("40000", 0), (before, 1_000_000)):
+            monkeypatch.setattr(sources, "BROADCAST_BLOCKS", broadcast)
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
             numbered = sources.number_lines(
                 sources.read_lines(spark, str(tmp_path)), scratch_dir(spark, "numbered"), sources.BY_NAME
