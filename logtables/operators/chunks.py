@@ -18,12 +18,13 @@ def _total_before(amount: str, keys: list[str], order: str) -> Column:
     return F.coalesce(F.sum(amount).over(window), F.lit(0))
 
 
-def position_within(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
+def position_within(rows: DataFrame, key: str, order: str, name: str, total: str | None = None) -> DataFrame:
     """Exact 0-based position of each row among the rows of its key, by the unique long ``order``.
 
     A plain ``row_number`` over the key would put a whole key into one task. Here rows are numbered
     within spans of 65,536 order values, which bounds every group whatever the skew, and the rows
     before each span are added from a small table of span counts, itself summed in two levels.
+    ``total`` names a further column for the number of rows of the key.
     """
     # The coalesce makes the span non-null, so both uses of the counts get one plan and run once.
     marked = rows.withColumn("_span", F.coalesce(F.shiftright(order, SPAN_BITS), F.lit(0)))
@@ -33,18 +34,23 @@ def position_within(rows: DataFrame, key: str, order: str, name: str) -> DataFra
         .withColumn("_block", F.shiftright("_span", SPAN_BITS))
     )
     blocks = counts.groupBy(key, "_block").agg(F.sum("_n").alias("_m"))
-    blocks = blocks.select(key, "_block", _total_before("_m", [key], "_block").alias("_ahead"))
+    blocks = blocks.select(
+        key,
+        "_block",
+        _total_before("_m", [key], "_block").alias("_ahead"),
+        F.sum("_m").over(W.partitionBy(key)).alias("_total"),
+    )
     offsets = (
         counts.withColumn("_within", _total_before("_n", [key, "_block"], "_span"))
         .join(blocks, [key, "_block"])
-        .select(key, "_span", (F.col("_ahead") + F.col("_within")).alias("_offset"))
+        .select(key, "_span", (F.col("_ahead") + F.col("_within")).alias("_offset"), "_total")
     )
     local = F.row_number().over(W.partitionBy(key, "_span").orderBy(order)) - 1
+    totals = [F.col("_total").alias(total)] if total else []
     return (
         marked.withColumn("_local", local)
         .join(offsets, [key, "_span"])
-        .withColumn(name, F.col("_offset") + F.col("_local"))
-        .drop("_span", "_local", "_offset")
+        .select(*rows.columns, (F.col("_offset") + F.col("_local")).alias(name), *totals)
     )
 
 

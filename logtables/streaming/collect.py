@@ -30,6 +30,10 @@ def _batch(spark: SparkSession, path: str, batch_id: int | str, schema) -> DataF
         return None
 
 
+def _flushed(spark: SparkSession, work: str, batch_id: int) -> bool:
+    return _batch(spark, f"{work}/{FLUSHED}", batch_id, "node string") is not None
+
+
 def _numbered(batch: DataFrame, batch_id: int, work: str, file_order: list[str]) -> DataFrame:
     """Lines of a batch, numbered per node on from the batches before.
 
@@ -55,15 +59,12 @@ def _with_waiting(messages: DataFrame, batch_id: int, work: str, n: int) -> Data
     columns = messages.columns
     staged = messages.withColumn("chunk_id", F.lit("")).withColumn("whole", F.lit(False))
     before = _batch(spark, f"{work}/{MESSAGES}", batch_id - 1, staged.schema)
-    flushed = _batch(spark, f"{work}/{FLUSHED}", batch_id - 1, "node string")
-    if before is not None and flushed is None:
+    if before is not None and not _flushed(spark, work, batch_id - 1):
         messages = messages.unionByName(before.where(~F.col("whole")).select(*columns))
     keyed = messages.withColumn("node", F.coalesce("node_id", F.lit("-")))
-    totals = keyed.groupBy("node").agg(F.count("*").alias("total"))
     chunk = F.concat_ws("/", "node", F.lit(str(batch_id)), F.expr(f"string(position div {n})"))
     return (
-        position_within(keyed, "node", "seq", "position")
-        .join(totals, "node")
+        position_within(keyed, "node", "seq", "position", total="total")
         .withColumn("chunk_id", chunk)
         .withColumn("whole", F.col("position") < F.expr(f"(total div {n}) * {n}"))
         .select(*columns, "chunk_id", "whole")
@@ -83,6 +84,9 @@ def collect_batch(
     Less than ``n`` messages per node wait. New patterns are those that no earlier batch published.
     """
     spark = batch.sparkSession
+    if _flushed(spark, work, batch_id - 1):
+        # Once more, as it may have been cut short; it only replaces its own output.
+        flush_waiting(spark, archive, work, batch_id - 1)
     lines = _numbered(batch, batch_id, work, file_order)
     write_batch(quarantine(lines), f"{archive}/{REJECTS}", batch_id)
     staged = _with_waiting(to_messages(lines), batch_id, work, n)
@@ -103,9 +107,11 @@ def flush_waiting(spark: SparkSession, archive: str, work: str, batch_id: int) -
     """On shutdown, close a partial chunk with the messages that batch ``batch_id``, the last, left waiting."""
     staged = spark.read.parquet(f"{work}/{MESSAGES}/batch_id={batch_id}")
     waiting = staged.where(~F.col("whole")).drop("whole")
+    # From here on these messages belong to the flush and no later batch takes them.
+    nodes = waiting.select(F.col("node_id").alias("node")).distinct()
+    write_batch(nodes, f"{work}/{FLUSHED}", batch_id)
     name = f"{batch_id}-rest"
     write_archive(records_of(waiting), archive, name, known_templates(spark, archive, batch_id, without=name))
-    write_batch(waiting.select(F.col("node_id").alias("node")).distinct(), f"{work}/{FLUSHED}", batch_id)
 
 
 def stream_archive(

@@ -107,8 +107,9 @@ def test_positions_within_a_hot_node(spark, stride):
         expected[node, seq] = seen.get(node, 0)
         seen[node] = seen.get(node, 0) + 1
     table = spark.createDataFrame(rows, "node string, seq long").repartition(5)
-    got = chunks.position_within(table, "node", "seq", "position").collect()
+    got = chunks.position_within(table, "node", "seq", "position", total="total").collect()
     assert {(r.node, r.seq): r.position for r in got} == expected
+    assert {r.node: r.total for r in got} == seen
 
 
 def test_chunks_close_after_n_messages_of_a_node(spark):

@@ -111,6 +111,28 @@ def test_a_failed_batch_is_replaced(spark, texts, tmp_path, monkeypatch):
     assert known.count() == read.select("pattern").distinct().count()
 
 
+def test_a_flush_cut_short_is_completed(spark, texts, tmp_path, monkeypatch):
+    folder = tmp_path
+    land(folder / "landing", texts, 0, 0.55, 0)
+    last = run(spark, folder)
+
+    def broken(*args, **kwargs):
+        archive.write_records(args[0], args[1], args[2])
+        raise RuntimeError("lost after the records were written")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(collect, "write_archive", broken)
+        with pytest.raises(RuntimeError):
+            collect.flush_waiting(spark, str(folder / "archive"), str(folder / "work"), last)
+    land(folder / "landing", texts, 0.55, 1, 1)
+    last = run(spark, folder)
+    collect.flush_waiting(spark, str(folder / "archive"), str(folder / "work"), last)
+    read, known = archive.read_archive(spark, str(folder / "archive"))
+    everything = batch_result(spark, texts).count()
+    assert read.count() == read.select("node_id", "seq").distinct().count() == everything
+    assert known.count() == known.select("pattern").distinct().count() == read.select("pattern").distinct().count()
+
+
 def test_streamed_search_and_feed(spark, texts, tmp_path):
     land(tmp_path / "landing", texts, 0, 1, 0)
     lines = sources.stream_lines(spark, str(tmp_path / "landing"))
