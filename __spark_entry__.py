@@ -263,12 +263,8 @@ def new_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mined = mined_live(spark, sf_dir)
-    catalogs = [
-        catalog.template_catalog(mined.where(F.col("node_id") == node)).withColumn("node_id", F.lit(node))
-        for node in ("node-0", "node-1", "node-2")
-    ]
-    return catalog.merge_catalogs(*catalogs).withColumn("nodes", F.array_join("nodes", ","))
+    per_node = catalog.template_catalog(mined_live(spark, sf_dir), "node_id")
+    return catalog.merge_catalogs(per_node).withColumn("nodes", F.array_join("nodes", ","))
 
 
 def string_pool(spark: SparkSession, sf_dir: str) -> DataFrame:

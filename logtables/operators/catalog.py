@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from logtables.functions.templates import template_key, wildcard_count
 
 
-def template_catalog(mined: DataFrame) -> DataFrame:
+def template_catalog(mined: DataFrame, *by: str) -> DataFrame:
     """One row per pattern of mined messages or records: key, token and wildcard counts, first line,
-    number of lines."""
+    number of lines. ``by`` names columns to keep apart, such as ``node_id`` for catalogs per node."""
     pattern = F.col("pattern")
     return (
-        mined.groupBy("pattern")
+        mined.groupBy(*by, "pattern")
         .agg(F.min("seq").alias("first_seq"), F.count("*").alias("n_lines"))
         .select(
+            *by,
             template_key(pattern).alias("template_key"),
             "pattern",
             F.when(pattern == "", 0).otherwise(F.size(F.split(pattern, " "))).alias("token_count"),
@@ -40,7 +41,10 @@ def new_templates(mined: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def merge_catalogs(*catalogs: DataFrame) -> DataFrame:
-    """Union of catalogs by exact pattern; ``node_id``, where present, is collected per pattern."""
+    """Union of catalogs by exact pattern; ``node_id``, where present, is collected per pattern.
+
+    A table may itself hold the catalogs of many nodes.
+    """
     merged = catalogs[0]
     for catalog in catalogs[1:]:
         merged = merged.unionByName(catalog, allowMissingColumns=True)

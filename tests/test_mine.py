@@ -155,5 +155,7 @@ def test_catalogs(spark):
     )
     got = {r.pattern: (r.first_seq, r.n_lines, r.nodes) for r in merged.collect()}
     assert got == {"a b <*>": (0, 2, ["n1"]), "z": (2, 2, ["n1", "n2"]), "q r": (8, 1, ["n2"])}
+    together = one.withColumn("node_id", F.lit("n1")).unionByName(other.withColumn("node_id", F.lit("n2")))
+    assert {r.pattern: (r.first_seq, r.n_lines, r.nodes) for r in catalog.merge_catalogs(together).collect()} == got
     # Merging again changes nothing but the counts.
     assert catalog.merge_catalogs(one, other, one).count() == 3
