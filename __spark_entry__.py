@@ -27,6 +27,14 @@ from logtables.sources.scratch import scratch_dir  # noqa: E402
 from logtables.streaming import live as streaming_live  # noqa: E402
 from logtables.streaming.collect import flush_waiting, stream_archive  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from logtables.llm import queries as llm
+except ModuleNotFoundError as missing:  # the subpackage may be left out; other imports may not
+    if missing.name not in ("corpus_pipeline", "logtables.llm"):
+        raise
+    corpus_pipeline = llm = None
+
 SEPARATOR = "\u001f"
 HEADER = ["hostname", "app_name", "procid", "msgid", "structured_data"]
 FAILURE_PATTERN = "Request <*> failed with code <*> after <*> ms"
@@ -429,6 +437,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    added = {} if llm is None else {**llm.QUERIES, "pipeline": corpus_pipeline.run}
     return {
         "read_lines": read_lines,
         "number_lines": number_lines,
@@ -484,8 +493,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "size_report": size_report,
         "template_report": template_report,
         "template_report_top": template_report_top,
+        **added,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return {**oracles.oracle_sql(), **({} if llm is None else llm.ORACLES)}
