@@ -71,27 +71,28 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
 
     A null text has size 0; a null source is a source of its own, last in order; rows without id come
     first. Documents of a source without words have no copies. Repeated rows count each. Columns of
-    ``docs`` by the new names are replaced. An empty table gives an empty one.
+    ``docs`` by the new names are replaced, others may have any name. An empty table gives an empty one.
     """
-    new = ("size", "source_size", "target", "copies", "taken")
-    own = [c for c in docs.columns if c not in new and c not in ("_mix_size", "_mix_source")]
-    sized = docs.select(*own, (word_count(text) if size is None else F.coalesce(size, F.lit(0)).cast("long")).alias("_mix_size"))
-    targets = source_targets(sized.select(F.col(source).alias("source"), F.col("_mix_size").alias("size")), weights, max_copies)
-    targets = stage(targets.withColumnRenamed("source", "_mix_source"), "targets")
-    met = F.col(source).eqNullSafe(F.col("_mix_source"))
+    words = word_count(text) if size is None else F.coalesce(size, F.lit(0)).cast("long")
+    sized = docs.select(
+        F.col(source).alias("_source"), words.alias("_size"), F.col(doc_id).alias("_id"), F.struct(*docs.columns).alias("_doc")
+    )
+    targets = stage(source_targets(sized.select(F.col("_source").alias("source"), F.col("_size").alias("size")), weights, max_copies), "targets")
     expected = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * UNIT)).otherwise(0).cast("long")
     # Ranks first, targets after: a row's sum is its rank times what each row of the source expects.
-    ranked = range_sums(sized, source, ["_mix_size", doc_id], F.lit(1), "ranked")
-    joined = ranked.join(targets, met).withColumn("_expected", expected)
-    offset = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(source), F.lit("")).cast("string"))), 1, 6), 16, 10).cast("long")
-    before = F.col("_before") * F.col("_expected") + offset  # six hex digits: below one unit
+    ranked = range_sums(sized, "_source", ["_size", "_id"], F.lit(1), "ranked")
+    joined = ranked.join(targets, F.col("_source").eqNullSafe(F.col("source"))).withColumn("_expected", expected)
+    # Six hex digits: below one unit.
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("_source").cast("string"), F.lit("")))), 1, 6)
+    before = F.col("_before") * F.col("_expected") + F.conv(digits, 16, 10).cast("long")
     copies = F.floor((before + F.col("_expected")) / F.lit(UNIT)) - F.floor(before / F.lit(UNIT))
-    found = joined.select(*own, F.col("_mix_size").alias("size"), "source_size", "target", copies.cast("int").alias("copies"))
-    return found.withColumn("taken", F.col("copies") * F.col("size"))
+    own = [F.col("_doc")[c].alias(c) for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    copies = copies.cast("int").alias("copies")
+    return joined.select(*own, F.col("_size").alias("size"), "source_size", "target", copies, (copies * F.col("_size")).alias("taken"))
 
 
 def emit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as :func:`mix` takes them, with their own columns."""
-    mixed = mix(docs, text, doc_id, source).where("copies > 0")
-    times = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")
-    return mixed.select(*docs.columns, times).select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_row"))
+    mixed = mix(whole, f"_row.{text}", f"_row.{doc_id}", f"_row.{source}").where("copies > 0")
+    return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

@@ -106,6 +106,5 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`quality_rules` keeps, with their own columns."""
-    columns = docs.columns
-    judged = quality_rules(docs.select(F.struct(*[F.col(c) for c in columns]).alias("_doc"), F.col(text).alias("_text")), "_text")
+    judged = quality_rules(docs.select(F.struct(*docs.columns).alias("_doc")), f"_doc.{text}")
     return judged.where("kept").select("_doc.*")

@@ -155,20 +155,19 @@ def secret_scan(docs: DataFrame, ledger: str, text: str = "text", rules: list[Ru
 
 def mask_secrets(docs: DataFrame, ledger: str, text: str = "text") -> DataFrame:
     """``docs`` with every span of their texts replaced by ``[secret]``; spans that meet or overlap, by one."""
-    columns = docs.columns
-    packed = docs.select(F.struct(*[F.col(c) for c in columns]).alias("_doc"), F.col(text).alias("_text"))
-    found = secret_scan(packed, ledger, "_text")
+    whole = F.col(f"_doc.{text}")
+    found = secret_scan(docs.select(F.struct(*docs.columns).alias("_doc")), ledger, f"_doc.{text}")
     # Copies what is before a span that begins after the last end, and moves the end.
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
 
     def step(state: Column, span: Column) -> Column:
         apart = (span["start"] > state["at"]) | (state["at"] == 0)
-        between = F.substring(F.col("_text"), (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
+        between = F.substring(whole, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
         grown = F.when(apart, F.concat(state["done"], between, F.lit(MASK))).otherwise(state["done"])
         return F.struct(grown.alias("done"), F.greatest(state["at"], span["end"]).alias("at"))
 
     def finish(state: Column) -> Column:
-        return F.concat(state["done"], F.substring(F.col("_text"), (state["at"] + 1).cast("int"), F.lit(2147483647)))
+        return F.concat(state["done"], F.substring(whole, (state["at"] + 1).cast("int"), F.lit(2147483647)))
 
-    masked = F.when(F.size("findings") > 0, F.aggregate("findings", start, step, finish)).otherwise(F.col("_text"))
-    return found.select(*[masked.alias(c) if c == text else F.col("_doc")[c].alias(c) for c in columns])
+    masked = F.when(F.size("findings") > 0, F.aggregate("findings", start, step, finish)).otherwise(whole)
+    return found.select(*[masked.alias(c) if c == text else F.col("_doc")[c].alias(c) for c in docs.columns])

@@ -221,7 +221,7 @@ def simhash_near_dedup(docs: DataFrame, shingle: int = 3, max_distance: int = 2,
     ``component_id`` is the smallest id reachable by links of at most ``max_distance`` bits (ids that
     are null do not count; null if there is no other). ``kept`` is true for one row of each component:
     the one with that id, any one of those if rows are repeated. Columns of ``docs`` by the new names
-    are replaced. An empty table gives an empty one.
+    are replaced, ``_fp`` and ``_row`` are left out. An empty table gives an empty one.
     """
     session_of(docs)
     own = [c for c in docs.columns if c not in ("fingerprint", "component_id", "kept", "_fp", "_row")]
@@ -243,5 +243,6 @@ def simhash_near_dedup(docs: DataFrame, shingle: int = 3, max_distance: int = 2,
 
 def one_of_each(docs: DataFrame, shingle: int = 3, max_distance: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that :func:`simhash_near_dedup` keeps, with their own columns."""
-    found = simhash_near_dedup(docs, shingle, max_distance, text, doc_id)
-    return found.where("kept").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"))
+    found = simhash_near_dedup(whole, shingle, max_distance, f"_doc.{text}", f"_doc.{doc_id}")
+    return found.where("kept").select("_doc.*")
