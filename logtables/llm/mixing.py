@@ -64,7 +64,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     ``target``, ``copies`` and ``taken``.
 
     Every document of a source expects target / source_size copies, at most ``max_copies``. In order of
-    size, then id, then the other columns, expected copies are summed within the source from one random
+    size, then id, then a hash of the whole row, expected copies are summed within the source from one random
     offset, and a document is taken once for each whole number that its share crosses. Neighbours in
     that order are of similar size, so the words taken come near the target. Sums are of whole numbers
     and the offset is a hash of seed and source: reruns agree.
@@ -74,20 +74,25 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     ``docs`` by the new names are replaced, others may have any name. An empty table gives an empty one.
     """
     words = word_count(text) if size is None else F.coalesce(size, F.lit(0)).cast("long")
-    sized = docs.select(
-        F.col(source).alias("_source"), words.alias("_size"), F.col(doc_id).alias("_id"), F.struct(*docs.columns).alias("_doc")
-    )
+    rows = docs.select(
+        F.col(source).alias("_source"), words.alias("_size"), F.col(doc_id).alias("_id"),
+        F.monotonically_increasing_id().alias("_place"), F.struct(*docs.columns).alias("_doc"),
+    )
+    # Whole rows are written once and move once, to meet their copies; ranks are made of slim rows.
+    rows = stage(rows.withColumn("_hash", F.xxhash64("_doc")), "rows")
+    sized = rows.select("_source", "_size", "_id", "_hash", "_place")
     targets = stage(source_targets(sized.select(F.col("_source").alias("source"), F.col("_size").alias("size")), weights, max_copies), "targets")
     expected = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * UNIT)).otherwise(0).cast("long")
     # Ranks first, targets after: a row's sum is its rank times what each row of the source expects.
-    ranked = range_sums(sized, "_source", ["_size", "_id"], F.lit(1), "ranked")
+    ranked = range_sums(sized, "_source", ["_size", "_id", "_hash"], F.lit(1), "ranked")
     joined = ranked.join(targets, F.col("_source").eqNullSafe(F.col("source"))).withColumn("_expected", expected)
     # Six hex digits: below one unit.
     digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("_source").cast("string"), F.lit("")))), 1, 6)
     before = F.col("_before") * F.col("_expected") + F.conv(digits, 16, 10).cast("long")
     copies = F.floor((before + F.col("_expected")) / F.lit(UNIT)) - F.floor(before / F.lit(UNIT))
     own = [F.col("_doc")[c].alias(c) for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    copies = copies.cast("int").alias("copies")
+    counted = joined.select("_place", "source_size", "target", copies.cast("int").alias("copies"))
+    copies, joined = F.col("copies"), rows.join(counted, "_place")
     return joined.select(*own, F.col("_size").alias("size"), "source_size", "target", copies, (copies * F.col("_size")).alias("taken"))
 
 
