@@ -44,6 +44,8 @@ ADDED = [
 ]
 RULES = [*BASE, *ADDED]
 MASK = "[secret]"
+#: Bits, by a hash of the address, that tell texts that may have findings from those that have none.
+MARKS = 1 << 20
 
 SCANNED = "blob binary, rules array<string>"
 FINDINGS = "blob binary, rule string, kind_no int, kind string, start long, end long"
@@ -137,9 +139,23 @@ def findings_of(docs: DataFrame, ledger: str, text: str = "text", rules: list[Ru
     known = _read(docs.sparkSession, f"{ledger}/findings", FINDINGS).where(F.col("rule").isin(list(order)))
     span = F.struct("start", numbers[F.col("rule")].alias("kind_no"), "kind", "end")
     by_blob = known.groupBy("blob").agg(F.array_sort(F.collect_set(span)).alias("findings")).withColumnRenamed("blob", "_found")
-    own = [c for c in docs.columns if c not in ("findings", "_found", "_blob")]
-    joined = docs.select(*own, blob_of(text).alias("_blob")).join(by_blob, F.col("_blob") == F.col("_found"), "left")
-    return joined.select(*own, F.coalesce("findings", F.array().cast(by_blob.schema["findings"].dataType)).alias("findings"))
+    own = [c for c in docs.columns if c not in ("findings", "_found", "_blob", "_bits", "_bucket")]
+    by_blob = by_blob.withColumn("_mark", F.pmod(F.xxhash64("_found"), F.lit(MARKS)))
+    bits = by_blob.groupBy(_bucket("_mark").alias("_bucket")).agg(F.bitmap_construct_agg(F.expr("_mark % 32768")).alias("_bits"))
+    addressed = docs.select(*own, blob_of(text).alias("_blob")).withColumn("_mark", F.pmod(F.xxhash64("_blob"), F.lit(MARKS)))
+    # At most MARKS bits in all. A text without its bit has no findings and does not move.
+    marked = addressed.withColumn("_bucket", _bucket("_mark")).join(F.broadcast(bits), "_bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_mark % 32768 div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    marked = marked.withColumn("_byte", byte)
+    perhaps = F.coalesce(F.expr("shiftright(_byte, cast(_mark % 8 as int)) % 2 = 1"), F.lit(False))
+    none = F.array().cast(by_blob.schema["findings"].dataType)
+    met = marked.where(perhaps).select(*own, "_blob").join(by_blob, F.col("_blob") == F.col("_found"), "left")
+    met = met.select(*own, F.coalesce("findings", none).alias("findings"))
+    return met.union(marked.where(~perhaps).select(*own, none.alias("findings")))
+
+
+def _bucket(mark: str) -> Column:
+    return F.expr(f"{mark} div 32768")
 
 
 def secret_scan(docs: DataFrame, ledger: str, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
