@@ -229,7 +229,7 @@ def mine_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mine_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = samples.conversation_messages(spark, sf_dir)
-    return mined_view(mine.mine_templates(chunks.chunk_by_line(turns, 100_000)))
+    return mined_view(mine.mine_templates(chunks.chunk_by_line(turns, 100 << 32)))
 
 
 def bulk_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ RFC3164_LINE = r"(?s)^<([0-9]++)>([^ ]*+)[ \t]++([^ ]*+)[ \t]++([^ ]*+)[ \t]++([
 RFC3339_PLAIN = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:[0-5]\d(\.\d+)?([Zz]|[+-](0\d|1[0-7]):[0-5]\d)$"
 RFC3339 = r"^(\d{4}-\d{2}-\d{2})[Tt](\d{2}:\d{2}):(\d{2})(\.\d+)?(?:[Zz]|([+\-\u2212])(\d{2}):([0-5]\d))$"
 SEVERITIES = ["emerg", "alert", "crit", "err", "warn", "notice", "info", "debug"]
+MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 MAX_OCTET = 255
 NIL = "-"
 MATCHED = "\n"
@@ -85,7 +86,28 @@ def rfc3339_time(text: Column) -> Column:
 
 
 def iso_time(ts: Column) -> Column:
-    """``2023-10-11T22:14:15.003``; the fraction is left out when its milliseconds are zero."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    millis = F.date_format(ts, "SSS")
-    return F.when(millis == "000", whole).otherwise(F.concat(whole, F.lit("."), millis))
+    """``2023-10-11T22:14:15.003`` in UTC whatever the session's zone; the fraction has 0, 3 or 6 digits."""
+    micros = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
+    whole = F.translate(utc_text(ts), " ", "T")
+    millis = F.concat(whole, F.lit("."), F.lpad((micros / 1000).cast("bigint").cast("string"), 3, "0"))
+    full = F.concat(whole, F.lit("."), F.lpad(micros.cast("string"), 6, "0"))
+    return F.when(micros == 0, whole).when(micros % 1000 == 0, millis).otherwise(full)
+
+
+def utc_text(ts: Column) -> Column:
+    """``2023-10-11 22:14:15`` in UTC. A time without zone is formatted, as no session zone moves it."""
+    seconds = F.floor(F.unix_micros(ts) / F.lit(1_000_000))
+    since = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
+    return since.cast("string")
+
+
+def utc_date(ts: Column) -> Column:
+    """The day in UTC."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int"))
+
+
+def short_time(ts: Column) -> Column:
+    """``Oct 11 22:14:15`` in UTC."""
+    text = utc_text(ts)
+    month = F.element_at(F.array(*map(F.lit, MONTHS)), F.substring(text, 6, 2).cast("int"))
+    return F.concat(month, F.lit(" "), F.substring(text, 9, 11))

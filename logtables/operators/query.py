@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtables.functions.syslog import iso_time
+from logtables.functions.syslog import iso_time, short_time
 from logtables.functions.templates import UNKNOWN, filled
 from logtables.functions.text import contains_ignoring_case, tokens
 from logtables.operators.encode import MISSING
@@ -24,7 +24,7 @@ def reconstruct(records: DataFrame, templates: DataFrame | None = None) -> DataF
     allows it and otherwise splits hot keys, which a left join permits.
     """
     if templates is not None:
-        patterns = templates.select("template_key", "pattern")
+        patterns = templates.select("template_key", "pattern").dropDuplicates(["template_key"])
         records = records.drop("pattern").join(patterns, "template_key", "left")
         records = records.withColumn("pattern", F.coalesce("pattern", F.lit(UNKNOWN)))
     return records.withColumn("message", filled(F.col("pattern"), F.col("variables")))
@@ -60,32 +60,38 @@ def render(records: DataFrame) -> DataFrame:
         ),
     )
     plain = F.concat(
-        *head, F.concat_ws(" ", F.date_format(when, "MMM dd HH:mm:ss"), _shown("hostname"), F.col("message"))
+        *head, F.concat_ws(" ", short_time(when), _shown("hostname"), F.col("message"))
     )
     return records.withColumn("rendered", F.when(F.col("is_rfc5424"), structured).otherwise(plain))
 
 
 def roundtrip_check(messages: DataFrame, records: DataFrame) -> DataFrame:
-    """One row of counts that compares messages with reconstructed records, joined on node and seq.
+    """One row of counts that compares messages with reconstructed records, joined on node and seq (and
+    ``batch_id``, if both sides have it). ``n_duplicate`` counts records beyond one per message.
 
     A message equals its record if header fields and event time (in milliseconds) agree and the
     texts agree up to whitespace.
     """
+    keys = ["node", "seq", *(["batch_id"] if "batch_id" in messages.columns and "batch_id" in records.columns else [])]
     compared = ["priority", "hostname", "app_name", "procid", "msgid", "structured_data", "is_rfc5424"]
 
     def digest(rows: DataFrame, text: Column, side: str) -> DataFrame:
         # A hash skips nulls, so it also gets the flags that tell which fields are null.
         missing = [F.col(name).isNull().alias(f"no_{name}") for name in compared]
         content = F.struct(*compared, *missing, F.unix_millis("event_ts").alias("ms"), text.alias("text"))
-        return rows.select(F.coalesce("node_id", F.lit(MISSING)).alias("node"), "seq", F.xxhash64(content).alias(side))
+        hashed = rows.select(F.coalesce("node_id", F.lit(MISSING)).alias("node"), *keys[1:], F.xxhash64(content).alias(side))
+        return hashed.groupBy(*keys).agg(F.max(side).alias(side), F.min(side).alias(f"other_{side}"), F.count("*").alias(f"n_{side}"))
 
     sent = digest(messages, F.array_join(tokens(F.col("message")), " "), "sent")
     kept = digest(reconstruct(records), F.col("message"), "kept")
-    both = sent.join(kept, ["node", "seq"], "full")
+    both = sent.join(kept, keys, "full")
+    differs = (F.col("sent") != F.col("kept")) | (F.col("other_sent") != F.col("other_kept"))
+    extra = F.greatest(F.lit(0), F.col("n_kept") - F.coalesce("n_sent", F.lit(1)))
     return both.agg(
-        F.count("sent").alias("n_messages"),
-        F.count("kept").alias("n_records"),
+        F.coalesce(F.sum("n_sent"), F.lit(0)).alias("n_messages"),
+        F.coalesce(F.sum("n_kept"), F.lit(0)).alias("n_records"),
+        F.coalesce(F.sum(extra), F.lit(0)).alias("n_duplicate"),
         F.count_if(F.col("kept").isNull()).alias("n_missing"),
         F.count_if(F.col("sent").isNull()).alias("n_extra"),
-        F.count_if(F.col("sent") != F.col("kept")).alias("n_different"),
+        F.count_if(differs).alias("n_different"),
     )

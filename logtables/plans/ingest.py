@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logtables.operators.chunks import LIVE_CHUNK, assign_chunks
 from logtables.operators.mine import extract_variables, mine_templates
 from logtables.operators.parse import quarantine, to_messages
-from logtables.sources.archive import write_archive, write_batch
-from logtables.sources.lines import BY_TIME, number_lines, read_lines
+from logtables.sources.archive import TEMPLATES, read_table, write_archive, write_batch
+from logtables.sources.lines import BY_TIME, number_lines, read_lines, unframed
 
 REJECTS = "rejects"
 
@@ -18,23 +19,41 @@ def records_of(chunked: DataFrame) -> DataFrame:
     return extract_variables(mine_templates(chunked))
 
 
+def batch_of(spark: SparkSession, landing: str) -> str:
+    """A name for the files below ``landing``: the same for the same paths, sizes and times. No file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(landing)
+    mark = F.xxhash64("path", "length", F.unix_micros("modificationTime"))
+    found = files.agg(F.coalesce(F.bit_xor(mark), F.lit(0)).alias("mark"), F.count("*").alias("n")).first()
+    return f"b-{found['mark'] & (1 << 64) - 1:016x}-{found['n']}"
+
+
 def ingest_batch(
     spark: SparkSession,
     landing: str,
     archive: str,
     work: str,
     n: int = LIVE_CHUNK,
-    batch_id: int | str = 0,
+    batch_id: int | str | None = None,
     file_order: list[str] = BY_TIME,
+    framed: bool = False,
 ) -> None:
-    """Archive all text files below ``landing``.
+    """Archive all text files below ``landing``, beside what the archive has.
+
+    Without ``batch_id`` the batch is named after its files, so the same load repeated replaces itself
+    and any other adds to the archive; land each load in a folder of its own. Numbers ``seq`` count
+    within a batch, and chunk ids begin with it. Patterns that other batches have published are not
+    published again. ``framed`` strips octet counts, for lines as TCP collectors land them.
 
     Numbered lines and messages are written to ``work`` once and read from there, so a lost executor
     or a second use does not parse or number anything differently.
     """
+    batch_id = batch_of(spark, landing) if batch_id is None else batch_id
     lines = number_lines(read_lines(spark, landing), f"{work}/lines/batch_id={batch_id}", file_order)
+    lines = unframed(lines) if framed else lines
     write_batch(quarantine(lines), f"{archive}/{REJECTS}", batch_id)
     messages = to_messages(lines)
     write_batch(messages, f"{work}/messages", batch_id)
     staged = spark.read.schema(messages.schema).parquet(f"{work}/messages/batch_id={batch_id}")
-    write_archive(records_of(assign_chunks(staged, n)), archive, batch_id)
+    known = read_table(spark, archive, TEMPLATES).where(F.col("batch_id") != str(batch_id))
+    chunked = assign_chunks(staged, n).withColumn("chunk_id", F.concat_ws("/", F.lit(str(batch_id)), "chunk_id"))
+    write_archive(records_of(chunked), archive, batch_id, known)

@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logtables.operators.query import filter_template, reconstruct, render, search
 from logtables.sources.archive import read_archive
 
 
 def query_archive(
-    spark: SparkSession, archive: str, template_key: str | None = None, text: str | None = None
+    spark: SparkSession,
+    archive: str,
+    template_key: str | None = None,
+    text: str | None = None,
+    since: date | None = None,
+    until: date | None = None,
 ) -> DataFrame:
-    """Reconstructed and rendered records; both conditions are optional and must both hold.
+    """Reconstructed and rendered records; all conditions are optional and must all hold.
 
-    One stage without a shuffle. The template test is pushed to the scan.
+    One stage without a shuffle. The template test is pushed to the scan; of days of arrival (UTC)
+    outside ``since`` to ``until``, both included, no file is listed or read.
     """
     records, _ = read_archive(spark, archive)
+    if since is not None:
+        records = records.where(F.col("date") >= F.lit(since))
+    if until is not None:
+        records = records.where(F.col("date") <= F.lit(until))
     if template_key is not None:
         records = filter_template(records, template_key)
     found = reconstruct(records)

@@ -1,15 +1,19 @@
 """The archive: an append-only pair of Parquet tables, ``records`` and ``templates``.
 
-Every run writes its own ``batch_id`` folder and replaces only that, so a repeated run adds nothing
-and other runs stay. Records carry their pattern: sorted by template it costs next to nothing in
+Every run writes its own ``batch_id`` folder and replaces only that, so other runs stay, and a run
+that is repeated under its own name adds nothing. Records carry their pattern: sorted by template it costs next to nothing in
 Parquet, and queries over the whole archive need no join.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logtables.functions.syslog import utc_date
 from logtables.operators.catalog import new_templates, template_catalog
 
 # Compression of the archive, columns of a record.
@@ -38,6 +42,19 @@ STORED = [
 
 RECORDS, TEMPLATES = "records", "templates"
 
+# What an archive without rows reads as.
+EMPTY = {
+    RECORDS: "chunk_id string, seq long, event_ms long, ts_source string, priority int, hostname string, app_name string, "
+    "procid string, msgid string, structured_data string, node_id string, is_rfc5424 boolean, template_key string, "
+    "pattern string, variables array<string>, batch_id string, date date",
+    TEMPLATES: "template_key string, pattern string, token_count int, n_wildcards int, first_seq long, n_lines long, batch_id string",
+}
+
+
+def new_batch() -> str:
+    """A name that no other batch has."""
+    return f"b-{uuid.uuid4().hex}"
+
 
 def write_batch(table: DataFrame, path: str, batch_id: int | str, partition_by: list[str] | None = None) -> None:
     """Replace the folder of one batch."""
@@ -54,19 +71,21 @@ def write_records(records: DataFrame, path: str, batch_id: int | str) -> None:
     holds most rows.
     """
     stored = records.withColumn("event_ms", F.unix_millis("event_ts")).select(
-        F.to_date("received_at").alias("date"), *STORED
+        utc_date(F.col("received_at")).alias("date"), *STORED
     )
     sorted_records = stored.hint("rebalance", "date").sortWithinPartitions("date", "template_key", "seq")
     write_batch(sorted_records, f"{path}/{RECORDS}", batch_id, ["date"])
 
 
 def write_archive(
-    records: DataFrame, path: str, batch_id: int | str = 0, known: DataFrame | None = None
+    records: DataFrame, path: str, batch_id: int | str | None = None, known: DataFrame | None = None
 ) -> None:
     """Write the records of a batch, then add the patterns that ``known`` lacks to the catalog.
 
+    Without ``batch_id`` the records are added under a new name; give one if the run may be repeated.
     The catalog is taken from the written records, so whatever made them runs once.
     """
+    batch_id = new_batch() if batch_id is None else batch_id
     write_records(records, path, batch_id)
     written = records.sparkSession.read.schema("seq long, pattern string").parquet(
         f"{path}/{RECORDS}/batch_id={batch_id}"
@@ -76,7 +95,14 @@ def write_archive(
 
 
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{table}")
+    """A table of the archive, empty if nothing has been written to it; ``batch_id`` is text."""
+    try:
+        rows = spark.read.parquet(f"{path}/{table}")
+    except AnalysisException as error:
+        if table not in EMPTY or error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], EMPTY[table])
+    return rows.withColumn("batch_id", F.col("batch_id").cast("string"))
 
 
 def read_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

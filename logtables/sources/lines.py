@@ -14,12 +14,19 @@ from pyspark.sql import functions as F
 BY_TIME = ["received_at", "source"]
 BY_NAME = ["source"]
 
-# About 200 bytes a row, so at most some 200 MB.
-BROADCAST_BLOCKS = 1_000_000
+# Fixed value: what the folder of a missing node is called.
+NO_NODE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _unescaped(text: Column) -> Column:
+    """``%3A`` and the like undone; a plus sign is one, and what is no escape stays."""
+    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
 
 
 def _line_columns() -> list[Column]:
-    node = F.regexp_extract("_metadata.file_path", r"/node_id=([^/]+)/", 1)
+    # The folder escapes some characters, and its URI escapes the result.
+    escaped = F.nullif(F.regexp_extract("_metadata.file_path", r"/node_id=([^/]+)/", 1), F.lit(NO_NODE))
+    node = _unescaped(_unescaped(escaped))
     return [
         F.col("_metadata.file_modification_time").alias("received_at"),
         F.nullif(node, F.lit("")).alias("node_id"),
@@ -56,8 +63,9 @@ def number_lines(lines: DataFrame, staging: str, file_order: list[str] = BY_TIME
 
     Block positions are only comparable within one evaluation of the source, so the lines are
     written once to the table ``staging`` and numbered from there. The offsets, one row per block of a
-    file (128 MB by default), are written beside it. They are broadcast up to a checked number of
-    rows, which spares a shuffle of the text; beyond it Spark chooses the join.
+    file (128 MB by default), are written beside it, and Spark, which knows their size, chooses the
+    join. Blocks are summed within ranges of them and then over the ranges of a node, so a node with
+    many files is spread over many tasks.
     """
     spark = lines.sparkSession
     lines.write.mode("overwrite").parquet(f"{staging}/lines")
@@ -65,13 +73,21 @@ def number_lines(lines: DataFrame, staging: str, file_order: list[str] = BY_TIME
     blocks = staged.groupBy("node_id", "received_at", "source", "block").agg(
         F.count("*").alias("n"), F.min("position").alias("first")
     )
-    earlier = W.partitionBy("node_id").orderBy(*file_order, "block")
-    before = F.coalesce(F.sum("n").over(earlier.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = blocks.select("source", "block", (before - F.col("first")).alias("offset"))
+    dealt = blocks.repartitionByRange("node_id", *file_order, "block").withColumn("range", F.spark_partition_id())
+    dealt.write.mode("overwrite").parquet(f"{staging}/blocks")
+    blocks = spark.read.schema(dealt.schema).parquet(f"{staging}/blocks")
+
+    def before(amount: str, window: W) -> Column:
+        return F.coalesce(F.sum(amount).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+    node = F.struct("node_id").alias("node")  # a missing node is one as well
+    ranges = blocks.groupBy(node, "range").agg(F.sum("n").alias("m"))
+    ranges = ranges.select("node", "range", before("m", W.partitionBy("node").orderBy("range")).alias("ahead"))
+    within = before("n", W.partitionBy("node", "range").orderBy(*file_order, "block"))
+    placed = blocks.withColumn("node", node).withColumn("within", within).join(ranges, ["node", "range"])
+    offsets = placed.select("source", "block", (F.col("ahead") + F.col("within") - F.col("first")).alias("offset"))
     offsets.write.mode("overwrite").parquet(f"{staging}/offsets")
     offsets = spark.read.schema(offsets.schema).parquet(f"{staging}/offsets")
-    if offsets.count() <= BROADCAST_BLOCKS:
-        offsets = F.broadcast(offsets)
     return staged.join(offsets, ["source", "block"]).select(
         (F.col("offset") + F.col("position")).alias("seq"), "received_at", "node_id", "line"
     )
@@ -103,5 +119,10 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def unframed(lines: DataFrame) -> DataFrame:
+    """Lines without their octet counts, empty ones left out."""
+    return classify_lines(lines).where("kind != 'skipped'").drop("kind")
+
+
 def count_kinds(lines: DataFrame) -> DataFrame:
     return classify_lines(lines).groupBy("node_id", "kind").agg(F.count("*").alias("n_lines"))

@@ -45,7 +45,7 @@ def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns of ``conversations`` as multi-line messages, in order of conversation and turn."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return turns.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("role").alias("node_id"), F.col("text").alias("message")
+        (F.shiftleft(F.col("conv_id").cast("bigint"), 32) + F.col("turn")).alias("seq"), F.col("role").alias("node_id"), F.col("text").alias("message")
     )
 
 

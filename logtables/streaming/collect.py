@@ -15,7 +15,8 @@ from logtables.operators.chunks import LIVE_CHUNK, position_within
 from logtables.operators.parse import quarantine, to_messages
 from logtables.plans.ingest import REJECTS, records_of
 from logtables.sources.archive import TEMPLATES, read_table, write_archive, write_batch
-from logtables.sources.lines import BY_TIME, number_lines, with_position
+from logtables.sources.lines import BY_TIME, number_lines, unframed, with_position
+from logtables.streaming.live import ALL_LANDED
 
 LINES, MESSAGES, PROGRESS, FLUSHED = "lines", "messages", "progress", "flushed"
 
@@ -78,6 +79,7 @@ def collect_batch(
     work: str,
     n: int = LIVE_CHUNK,
     file_order: list[str] = BY_TIME,
+    framed: bool = False,
 ) -> None:
     """Parse a batch of lines, archive every ``n`` accepted messages of a node, keep the rest waiting.
 
@@ -88,6 +90,7 @@ def collect_batch(
         # Once more, as it may have been cut short; it only replaces its own output.
         flush_waiting(spark, archive, work, batch_id - 1)
     lines = _numbered(batch, batch_id, work, file_order)
+    lines = unframed(lines) if framed else lines
     write_batch(quarantine(lines), f"{archive}/{REJECTS}", batch_id)
     staged = _with_waiting(to_messages(lines), batch_id, work, n)
     write_batch(staged, f"{work}/{MESSAGES}", batch_id, ["whole"])
@@ -105,7 +108,12 @@ def known_templates(spark: SparkSession, archive: str, last: int, without: str =
 
 def flush_waiting(spark: SparkSession, archive: str, work: str, batch_id: int) -> None:
     """On shutdown, close a partial chunk with the messages that batch ``batch_id``, the last, left waiting."""
-    staged = spark.read.parquet(f"{work}/{MESSAGES}/batch_id={batch_id}")
+    try:
+        staged = spark.read.parquet(f"{work}/{MESSAGES}/batch_id={batch_id}")
+    except AnalysisException as error:  # no message was accepted, so none waits
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return
     waiting = staged.where(~F.col("whole")).drop("whole")
     # From here on these messages belong to the flush and no later batch takes them.
     nodes = waiting.select(F.col("node_id").alias("node")).distinct()
@@ -115,19 +123,26 @@ def flush_waiting(spark: SparkSession, archive: str, work: str, batch_id: int) -
 
 
 def stream_archive(
-    lines: DataFrame, archive: str, work: str, n: int = LIVE_CHUNK, file_order: list[str] = BY_TIME
+    lines: DataFrame,
+    archive: str,
+    work: str,
+    n: int = LIVE_CHUNK,
+    file_order: list[str] = BY_TIME,
+    framed: bool = False,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Archive a stream of lines; ends when all landed files are read. Run it again to go on.
+    """Archive a stream of lines; without ``trigger`` it ends when all landed files are read. Run it
+    again to go on. ``framed`` strips octet counts, for lines as TCP collectors land them.
 
     ``archive`` and ``work`` belong to this stream: batch numbers come from its checkpoint.
     """
 
     def collect(batch: DataFrame, batch_id: int) -> None:
-        collect_batch(batch, batch_id, archive, work, n, file_order)
+        collect_batch(batch, batch_id, archive, work, n, file_order, framed)
 
     return (
         lines.writeStream.foreachBatch(collect)
         .option("checkpointLocation", f"{work}/checkpoint")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ALL_LANDED))
         .start()
     )

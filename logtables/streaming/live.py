@@ -13,27 +13,31 @@ from logtables.sources.feed import to_json_feed
 from logtables.sources.lines import with_position
 
 
-def _started(rows: DataFrame, kind: str, path: str, checkpoint: str) -> StreamingQuery:
+# Ends when all landed files are read; {"processingTime": "10 seconds"} goes on.
+ALL_LANDED = {"availableNow": True}
+
+
+def _started(rows: DataFrame, kind: str, path: str, checkpoint: str, trigger: dict | None) -> StreamingQuery:
     return (
         rows.writeStream.format(kind)
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ALL_LANDED))
         .start()
     )
 
 
-def stream_feed(lines: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_feed(lines: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Write every message as a JSON object to text files."""
-    return _started(to_json_feed(to_messages(lines)), "text", path, checkpoint)
+    return _started(to_json_feed(to_messages(lines)), "text", path, checkpoint, trigger)
 
 
-def stream_search(lines: DataFrame, text: str, path: str, checkpoint: str) -> StreamingQuery:
+def stream_search(lines: DataFrame, text: str, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Write the lines that contain ``text`` to Parquet. No state."""
-    return _started(live_search(to_messages(lines), text), "parquet", path, checkpoint)
+    return _started(live_search(to_messages(lines), text), "parquet", path, checkpoint, trigger)
 
 
-def stream_tail(lines: DataFrame, path: str, checkpoint: str, n: int = TAIL) -> StreamingQuery:
+def stream_tail(lines: DataFrame, path: str, checkpoint: str, n: int = TAIL, trigger: dict | None = None) -> StreamingQuery:
     """Keep the ``n`` newest lines: batch by batch, the newest of those kept and those arrived."""
 
     def keep(batch: DataFrame, batch_id: int) -> None:
@@ -46,6 +50,6 @@ def stream_tail(lines: DataFrame, path: str, checkpoint: str, n: int = TAIL) ->
     return (
         lines.writeStream.foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ALL_LANDED))
         .start()
     )

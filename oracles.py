@@ -120,7 +120,12 @@ SHOWN_TIME = r"CASE WHEN NOT is_rfc5424 OR ts_source = 'header' THEN event_ts EN
 
 
 def iso(ts: str) -> str:
-    return f"(strftime({ts}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN millisecond({ts}) % 1000 = 0 THEN '' ELSE strftime({ts}, '.%g') END)"
+    """The fraction has as many digits as it needs: none, 3 or 6."""
+    micros = f"microsecond({ts}) % 1000000"
+    return (
+        f"(strftime({ts}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN {micros} = 0 THEN '' "
+        f"WHEN {micros} % 1000 = 0 THEN strftime({ts}, '.%g') ELSE strftime({ts}, '.%f') END)"
+    )
 
 
 def hay(*columns: str) -> str:
@@ -167,7 +172,7 @@ outcomes AS (
   FROM judged)"""
 
 DOCUMENTS = "chunked AS (SELECT doc_id AS seq, text AS message, doc_id // 1000 AS chunk_id FROM documents)"
-TURNS = "chunked AS (SELECT conv_id * 1000 + turn AS seq, text AS message, conv_id // 100 AS chunk_id FROM conversations)"
+TURNS = "chunked AS (SELECT conv_id * 4294967296 + turn AS seq, text AS message, conv_id // 100 AS chunk_id FROM conversations)"
 
 BULK_MINED = f"WITH {PARSED}, {BULK},{MINED}"
 LIVE_MINED = f"WITH {PARSED}, {LIVE},{MINED}"
@@ -177,7 +182,7 @@ LIVE_RECORDS = f"{LIVE_MINED},{RECORDS}"
 FAILURE_PATTERN = "Request <*> failed with code <*> after <*> ms"
 
 RENDERED = f"""CASE WHEN is_rfc5424
-      THEN '[' || node_id || '] <' || priority || '>1 ' || {iso('event_ts')} || '+00:00 ' || coalesce(hostname, '-') || ' '
+      THEN '[' || node_id || '] <' || priority || '>1 ' || {iso("date_trunc('millisecond', event_ts)")} || '+00:00 ' || coalesce(hostname, '-') || ' '
         || coalesce(app_name, '-') || ' ' || coalesce(procid, '-') || ' ' || coalesce(msgid, '-')
         || ' [' || coalesce(structured_data, '-') || '] ' || text
       ELSE '[' || node_id || '] <' || priority || '>' || strftime(event_ts, '%b %d %H:%M:%S') || ' '
@@ -262,7 +267,7 @@ def oracle_sql() -> dict[str, str]:
         "render": f"""{messages} SELECT seq, {RENDERED} AS rendered FROM (SELECT *, message AS text FROM messages)""",
         "query_archive": f"""{BULK_RECORDS} SELECT seq, {RENDERED} AS rendered FROM records
             WHERE pattern = '{FAILURE_PATTERN}' AND contains({hay('hostname', 'app_name', 'procid', 'msgid', 'structured_data', 'text', 'priority', 'node_id')}, 'host1')""",
-        "roundtrip_check": f"""{messages} SELECT count(*) AS n_messages, count(*) AS n_records, 0 AS n_missing, 0 AS n_extra,
+        "roundtrip_check": f"""{messages} SELECT count(*) AS n_messages, count(*) AS n_records, 0 AS n_duplicate, 0 AS n_missing, 0 AS n_extra,
             0 AS n_different FROM messages""",
         "stream_archive": f"""WITH {LINES},{JUDGED},{MESSAGES}, numbered AS (
               SELECT node_id, seq, row_number() OVER (PARTITION BY node_id ORDER BY seq) - 1 AS line_no FROM lines),

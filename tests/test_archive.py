@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from logtables.functions.syslog import iso_time, short_time, utc_date
 from logtables.operators import catalog, chunks, encode, live, parse, query, report
 from logtables.plans.ingest import ingest_batch, records_of
 from logtables.plans.measure import measure_archive
@@ -27,9 +28,9 @@ def rows_of(table):
 
 
 def formula_lines(spark, n):
-    """Repetitive lines: two users, ten process numbers."""
-    line = """concat('<34>1 2023-10-11T22:14:15.003Z myhost myapp ', 1000 + id % 10, ' ID47 [exampleSDID@32473] User ',
-        if(id % 2 = 0, 'alice', 'bob'), ' failed login from IP 192.168.1.', id % 255)"""
+    """Repetitive lines: three valves, eight process numbers."""
+    line = """concat('<77>1 2024-03-05T06:07:08.009Z plant3 boiler ', 400 + id % 8, ' VALVE - Valve ',
+        element_at(array('north', 'south', 'inlet'), int(id % 3) + 1), ' moved to position ', id % 199)"""
     return spark.range(n).selectExpr(
         "id AS seq", "timestamp'2023-10-12 00:00:00' AS received_at", "'node-0' AS node_id", f"{line} AS line"
     )
@@ -158,7 +159,9 @@ def test_search_is_literal_and_ignores_case(spark, records):
 
 def test_roundtrip_counts_what_differs(messages, records):
     clean = query.roundtrip_check(messages, records).first()
-    assert tuple(clean) == (clean.n_messages, clean.n_messages, 0, 0, 0)
+    assert tuple(clean) == (clean.n_messages, clean.n_messages, 0, 0, 0, 0)
+    twice = query.roundtrip_check(messages, records.union(records)).first()
+    assert (twice.n_duplicate, twice.n_extra, twice.n_different) == (clean.n_messages, 0, 0)
     first = records.agg(F.min("seq")).first()[0]
     lost = query.roundtrip_check(messages, records.where(F.col("seq") != first)).first()
     assert (lost.n_missing, lost.n_extra, lost.n_different) == (1, 0, 0)
@@ -167,7 +170,7 @@ def test_roundtrip_counts_what_differs(messages, records):
     assert query.roundtrip_check(messages, swapped).first().n_different == 1
 
 
-def test_files_are_numbered_line_by_line_whatever_the_split(spark, tmp_path, monkeypatch):
+def test_files_are_numbered_line_by_line_whatever_the_split(spark, tmp_path):
     texts = {node: [f"<1>Oct 1 00:00:00 h {node} {i} " + "x" * (i % 50) for i in range(2000)] for node in ("a", "b")}
     for node, rows in texts.items():
         folder = tmp_path / f"node_id={node}"
@@ -176,8 +179,7 @@ def test_files_are_numbered_line_by_line_whatever_the_split(spark, tmp_path, mon
             (folder / f"part-{k}.log").write_text("\n".join(rows[k * 700 : (k + 1) * 700]) + "\n")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
-        for size, broadcast in (("7000", 1_000_000), ("40000", 0), (before, 1_000_000)):
-            monkeypatch.setattr(sources, "BROADCAST_BLOCKS", broadcast)
+        for size in ("7000", "40000", before):
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
             numbered = sources.number_lines(
                 sources.read_lines(spark, str(tmp_path)), scratch_dir(spark, "numbered"), sources.BY_NAME
@@ -219,6 +221,8 @@ def test_ingest_equals_records_in_memory(spark, sf_dir, tmp_path):
     ingest_batch(spark, str(tmp_path / "landing"), str(tmp_path / "archive"), str(tmp_path / "work"), file_order=sources.BY_NAME)
     read, templates = archive.read_archive(spark, str(tmp_path / "archive"))
     own = records_of(chunks.assign_chunks(parse.to_messages(lines)))
+    assert read.where(~F.startswith("chunk_id", F.concat("batch_id", F.lit("/")))).isEmpty()
+    read = read.withColumn("chunk_id", F.expr("substring(chunk_id, length(batch_id) + 2)"))
     columns = ["chunk_id", "node_id", "priority", "hostname", "pattern", "variables"]
     assert rows_of(read.select(*columns)) == rows_of(own.select(*columns))
     assert templates.count() == own.select("pattern").distinct().count()
@@ -266,3 +270,48 @@ def test_template_report_adds_up(records):
     assert sum(r.n_lines for r in rows) == records.count()
     top = [r.message_bytes for r in report.template_report(records, 3).collect()]
     assert top == sorted((r.message_bytes for r in rows), reverse=True)[:3]
+
+
+def test_loads_add_up_and_a_repeated_load_adds_nothing(spark, tmp_path):
+    path, work = str(tmp_path / "archive"), str(tmp_path / "work")
+    landings = []
+    for k in range(2):
+        folder = tmp_path / f"landing-{k}" / "node_id=a"
+        folder.mkdir(parents=True)
+        rows = [f"<34>Oct 11 22:14:15 host app: load {k} of user{i}" for i in range(25)]
+        (folder / "part.log").write_text("\n".join(rows) + "\n")
+        landings.append(str(tmp_path / f"landing-{k}"))
+    for landing in (*landings, landings[0]):
+        ingest_batch(spark, landing, path, work)
+    read, known = archive.read_archive(spark, path)
+    assert read.count() == 50 and read.select("batch_id", "node_id", "seq").distinct().count() == 50
+    assert read.select("chunk_id").distinct().count() == 6
+    assert known.count() == known.select("template_key").distinct().count()
+    assert query.reconstruct(read, known.union(known)).count() == 50
+
+
+def test_framed_lines_are_archived(spark, tmp_path):
+    folder = tmp_path / "landing" / "node_id=10.0.0.1%3A514"
+    folder.mkdir(parents=True)
+    rows = [f"<34>Oct 11 22:14:15 host app: user{i} came" for i in range(12)]
+    (folder / "part.log").write_text("".join(f"{len(row)} {row}\n" for row in rows))
+    ingest_batch(spark, str(tmp_path / "landing"), str(tmp_path / "archive"), str(tmp_path / "work"), framed=True)
+    read, _ = archive.read_archive(spark, str(tmp_path / "archive"))
+    assert read.count() == 12
+    assert {row.node_id for row in read.select("node_id").collect()} == {"10.0.0.1:514"}
+
+
+def test_times_are_shown_in_utc_in_any_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    times = ["2023-10-11T22:14:15.003Z", "1969-12-31T23:59:59.000003Z", "2024-02-29T00:00:00Z"]
+    shown = ["2023-10-11T22:14:15.003", "1969-12-31T23:59:59.000003", "2024-02-29T00:00:00"]
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            ts = spark.createDataFrame([(t,) for t in times], "t string").withColumn("ts", F.to_timestamp("t"))
+            rows = ts.select(iso_time(F.col("ts")), short_time(F.col("ts")), utc_date(F.col("ts")).cast("string")).collect()
+            assert [row[0] for row in rows] == shown
+            assert [row[1] for row in rows] == ["Oct 11 22:14:15", "Dec 31 23:59:59", "Feb 29 00:00:00"]
+            assert [row[2] for row in rows] == [text[:10] for text in shown]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
