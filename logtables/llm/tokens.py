@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -11,11 +12,13 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from logtables.llm.staging import session_of
 
 TOKENIZER = "byte_bpe_50k.json"
-#: A worker forgets its words when it knows this many, so its memory is bounded; ids stay the same.
+#: A worker begins a new set of words when it knows this many; ids stay the same.
 REMEMBERED = 300_000
 
 #: A blank between other white space (or at the end) belongs to a longer piece; elsewhere a byte-level
@@ -23,29 +26,45 @@ REMEMBERED = 300_000
 _LONG_BLANKS = re.compile(r"\s (?:\s|$)")
 
 
-class _Words(dict):
-    """Word to the little-endian 32-bit ids of a blank and the word."""
+class _Recent(dict):
+    """What ``make`` gives for each key. When it knows ``REMEMBERED`` keys it begins anew and keeps the
+    last ones aside, so frequent keys stay and memory is bounded."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.make, self.before = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.before.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        self[key] = found
+        return found
 
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        self[word] = found = self.ids(" " + word)
-        return found
+class _Words(_Recent):
+    """Word to the little-endian 32-bit ids of a blank and the word.
+
+    A text falls into pieces that are encoded each by itself. Most new words are made of known pieces."""
+
+    def __init__(self, tokenizer):
+        super().__init__(lambda word: self.ids(" " + word))
+        if tokenizer.normalizer is not None or not isinstance(tokenizer.pre_tokenizer, ByteLevel):
+            raise ValueError("the tokenizer must be a byte-level one without a normalizer")
+        self.split, self.model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model
+        self.pieces = _Recent(lambda piece: np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes())
+
+    def ids(self, text: str) -> bytes:
+        return b"".join([self.pieces[piece] for piece, _ in self.split(text)])
 
 
 @lru_cache(maxsize=2)
 def _words(path: str) -> _Words:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-    return _Words(tokenizer)
+    return _Words(Tokenizer.from_file(path))  # names of special tokens in a text are ordinary text
 
 
 def encode(text: str | None, path: str) -> bytes:
@@ -55,8 +74,6 @@ def encode(text: str | None, path: str) -> bytes:
     words = _words(path)
     if _LONG_BLANKS.search(text):
         return words.ids(text)
-    if len(words) > REMEMBERED:
-        words.clear()
     first, *rest = text.split(" ")
     return words.ids(first) + b"".join([words[w] for w in rest])
 
