@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtables.llm import embeddings, language, mixing, packing, quality, secrets, simhash, suffix_tree, tokens, warc
+from logtables.llm import conversations, embeddings, language, merkle, mixing, packing, quality, secrets, simhash, suffix_tree, tokens, toxicity, warc
 from logtables.llm.staging import crc32_of_id
 from logtables.sources.scratch import scratch_dir
 
@@ -77,11 +78,30 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text").withColumn("held_out", crc32_of_id() % 5 == 0)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc32_of_id() % 5 != 0)
+    model = toxicity.train(docs.where("not held_out"), labels.select("doc_id", "toxic"))
+    return toxicity.toxicity(docs, model).select("doc_id", "held_out", "score", "predicted", "n_windows", "n_hits")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, *merkle.FIELDS)
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(docs, now=F.when(tampered, lowered).otherwise(F.col("text")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return conversations.repair_report(rows, conversations.damaged(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_simhash_near_dedup, op3_language_id, op4_secret_scans, op5_embedding_near_dedup,
-        op6_quality_rules, op7_mixing, op8_warc, op9_packing, op10_lm_scoring,
+        op6_quality_rules, op7_mixing, op8_warc, op9_packing, op10_lm_scoring, op11_toxicity, op12_merkle_manifest, op13_conversation_repair,
     )
 }
 
