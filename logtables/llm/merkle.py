@@ -77,7 +77,7 @@ def _levels(nodes: DataFrame, purpose: str) -> DataFrame:
     return found
 
 
-def _placed(docs: DataFrame, now: Column, doc_id: str, lang: str, text: str, fields: tuple[str, ...]) -> DataFrame:
+def _placed(docs: DataFrame, now: Column, doc_id: str, lang: str, text: str, fields: tuple[str, ...], block: int) -> DataFrame:
     """A row per leaf: its tree, id, hash, hash with the text as it is ``now``, place, block and the leaves of its tree."""
     own = [F.col(f) for f in fields]
     changed = leaf_hash([now if f == text else F.col(f) for f in fields])
@@ -86,7 +86,7 @@ def _placed(docs: DataFrame, now: Column, doc_id: str, lang: str, text: str, fie
         F.when(~now.eqNullSafe(F.col(text)), changed).alias("_changed"),
     )
     placed = range_sums(leaves, "_tree", ["_id", "_leaf"], F.lit(1), "leaves").withColumnRenamed("_before", "_place")
-    return stage(placed.withColumn("_block", F.expr(f"_place div {FAN**BLOCK_LEVELS}")), "placed")
+    return stage(placed.withColumn("_block", F.expr(f"_place div {block}")), "placed")
 
 
 def _blocks(placed: DataFrame) -> DataFrame:
@@ -96,23 +96,23 @@ def _blocks(placed: DataFrame) -> DataFrame:
     return placed.groupBy("_tree", "_block").agg(leaves).join(counts, "_tree")
 
 
-def _inside(leaves: list[str], count: int) -> tuple[list[list[str]], int]:
-    """The levels of a block of a tree of ``count`` leaves, and the nodes of the tree on the last of them."""
+def _inside(leaves: list[str], count: int, most: int) -> tuple[list[list[str]], int]:
+    """The levels (at most ``most`` above the leaves) of a block of a tree of ``count`` leaves, and the nodes of the tree on the last of them."""
     levels = [leaves]
-    while len(levels) <= BLOCK_LEVELS and count > 1:
+    while len(levels) <= most and count > 1:
         levels.append(level_above(levels[-1]))
         count = -(-count // FAN)
     return levels, count
 
 
-def _block_roots(blocks: DataFrame) -> DataFrame:
+def _block_roots(blocks: DataFrame, most: int) -> DataFrame:
     """The root of each block; a tree of at most one block ends with its own root."""
 
     def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for hashes, count in zip(batch.column("hashes").to_pylist(), batch.column("_leaves").to_pylist()):
-                levels, left = _inside(hashes, count)
+                levels, left = _inside(hashes, count, most)
                 found.append((len(levels) - 1, levels[-1][0], left))
             at, hashes, counts = zip(*found) if found else ((), (), ())
             columns = [batch.column("_tree"), pa.array(at, pa.int32()), batch.column("_block"), pa.array(hashes, pa.string()), pa.array(counts, pa.int64())]
@@ -149,7 +149,8 @@ def _missing(roots: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def manifest(
-    docs: DataFrame, now: Column | None = None, doc_id: str = "doc_id", lang: str = "lang", text: str = "text", fields: tuple[str, ...] = FIELDS
+    docs: DataFrame, now: Column | None = None, doc_id: str = "doc_id", lang: str = "lang", text: str = "text", fields: tuple[str, ...] = FIELDS,
+    block_levels: int = BLOCK_LEVELS,
 ) -> DataFrame:
     """One row per row of ``docs``: its id, ``leaf``, the ``subroot`` of its language, the ``root`` of all,
     ``proof_sha256`` (of its siblings on the way to the root, concatenated), ``folded_root`` (what that way makes of the
@@ -159,14 +160,14 @@ def manifest(
     Languages ascend by their bytes, null first. A null field differs from an empty one. An empty table
     gives an empty one; other columns change nothing.
 
-    Every block of 4,096 leaves lists the nodes it lacks, fetches them in one join, derives the nodes between
+    Every block of leaves (4,096, a subtree of ``block_levels``) lists the nodes it lacks, fetches them in one join, derives the nodes between
     from its own leaves and expands the proofs of its leaves. Leaves move without their texts; places come from
     sums over ranges, so a language that holds most rows is spread over many tasks.
     """
     now = F.col(text) if now is None else now
     kind = docs.schema[doc_id].dataType.simpleString()
-    blocks = _blocks(_placed(docs, now, doc_id, lang, text, fields))
-    roots = stage(_block_roots(blocks), "block-roots")
+    blocks = _blocks(_placed(docs, now, doc_id, lang, text, fields, FAN**block_levels))
+    roots = stage(_block_roots(blocks, block_levels), "block-roots")
     nodes = _levels(roots, "tree")
     subroots = nodes.where("_count = 1").select("_tree", "_hash", F.lit(0).alias("_one"))
     ranks = range_sums(subroots, "_one", ["_tree"], F.lit(1), "languages").withColumnRenamed("_before", "_rank")
@@ -184,8 +185,9 @@ def manifest(
             for k in range(batch.num_rows):
                 leaves = batch.column("leaves")[k].values
                 rows = _expanded(
-                    leaves.field("_leaf").to_pylist(), leaves.field("_changed").to_pylist(), batch.column("_leaves")[k].as_py(), batch.column("fetched")[k].as_py()
-                )
+                    leaves.field("_leaf").to_pylist(), leaves.field("_changed").to_pylist(), batch.column("_leaves")[k].as_py(), batch.column("fetched")[k].as_py(),
+                    block_levels,
+                )
                 columns = [leaves.field("_id"), *[pa.array(c, pa.bool_() if n == 6 else pa.string()) for n, c in enumerate(zip(*rows), 1)]]
                 yield pa.record_batch(columns, names=["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"])
 
@@ -194,16 +196,18 @@ def manifest(
     return found.withColumnRenamed("doc_id", doc_id)
 
 
-def _expanded(leaves: list[str], changed: list[str | None], count: int, fetched: list[dict]) -> list[tuple]:
+def _expanded(leaves: list[str], changed: list[str | None], count: int, fetched: list[dict], most: int) -> list[tuple]:
     """Leaf, subroot, root, hash of the proof, folded root and whether they agree, for each leaf of a block."""
-    levels, _ = _inside(leaves, count)
-    subroot, root = (next(n["hash"] for n in fetched if n["top"] == top and n["side"] == 0) for top in (False, True))
-    above: dict[tuple, list[str]] = {}
+    levels, _ = _inside(leaves, count, most)
+    roots = {n["top"]: n for n in fetched if n["side"] == 0}
+    subroot, root = roots[False]["hash"], roots[True]["hash"]
+    # A node may be alone in its run and still has a level above.
+    ways = [(top, level) for top, first in ((False, len(levels) - 1), (True, 0)) for level in range(first, roots[top]["level"])]
+    above: dict[tuple, list[str]] = {way: ["", ""] for way in ways}
     for n in fetched:
         if n["side"]:
-            pair = above.setdefault((n["top"], n["level"]), ["", ""])
-            pair[n["side"] > 0] += n["hash"]
-    upper = [tuple(pair) for pair in above.values()]  # in order of tree and level
+            above[n["top"], n["level"]][n["side"] > 0] += n["hash"]
+    upper = [tuple(pair) for pair in above.values()]
     rest = "".join(map("".join, upper)).encode()
     # Nodes on the way are shared by many leaves: each pair is made once.
     shared = [[siblings(k, nodes) for k in range(len(nodes))] for nodes in levels[:-1]]

@@ -168,9 +168,115 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'r
     CASE WHEN page_id > first THEN first END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)"""
 
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text by its definition; the SQL engine has no function for it."""
+    return f"""xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length({text}) + 1), lambda i: ord(substr({text}, i, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x >> 1, 3988292384::BIGINT * (x & 1)))))"""
+
+
+def _merkle_sql() -> str:
+    def leaf(text: str) -> str:
+        fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode({f}))::VARCHAR || ':' || {f}, '-')" for f in fields) + ")"
+
+    lowered = "CASE WHEN CRC % 3 = 0 THEN LOWERED ELSE text END"
+    lowered = lowered.replace("CRC", _crc32_sql("doc_id::VARCHAR")).replace("LOWERED", f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')")
+
+    def up(name: str) -> str:
+        """All levels of the trees in ``name`` (of, place, h)."""
+        return f"""levels_{name} AS (SELECT 0 AS level, * FROM {name} UNION ALL
+    SELECT level + 1, of, place // 8, sha256(string_agg(h, '' ORDER BY place)) FROM (SELECT *, count(*) OVER (PARTITION BY of) AS n FROM levels_{name})
+    WHERE n > 1 GROUP BY level, of, place // 8)"""
+
+    def beside(name: str) -> str:
+        """The other nodes of the run of each node, before and after it."""
+        return f"""beside_{name} AS (SELECT a.level, a.of, a.place, coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS l,
+        coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS r
+    FROM levels_{name} a JOIN levels_{name} b ON a.level = b.level AND a.of IS NOT DISTINCT FROM b.of AND a.place // 8 = b.place // 8
+    WHERE a.level < (SELECT max(level) FROM levels_{name} t WHERE t.of IS NOT DISTINCT FROM a.of) GROUP BY ALL)"""
+
+    def fold(name: str, start: str) -> str:
+        return f"""fold_{name} AS (SELECT 0 AS level, * FROM {start} UNION ALL
+    SELECT f.level + 1, f.id, f.of, f.place // 8, sha256(s.l || f.h || s.r), f.proof || s.l || s.r
+    FROM fold_{name} f JOIN beside_{name} s ON f.level = s.level AND f.of IS NOT DISTINCT FROM s.of AND f.place = s.place),
+end_{name} AS (SELECT * FROM fold_{name} QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1)"""
+
+    return f"""
+WITH RECURSIVE hashed AS (SELECT row_number() OVER () AS id, doc_id, lang AS of, {leaf("text")} AS h, {leaf("now")} AS now
+    FROM (SELECT *, {lowered} AS now FROM documents)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY of ORDER BY doc_id NULLS FIRST, h) - 1 AS place FROM hashed),
+leaves AS (SELECT of, place, h FROM placed),
+{up("leaves")},
+{beside("leaves")},
+roots AS (SELECT of, h FROM levels_leaves QUALIFY row_number() OVER (PARTITION BY of ORDER BY level DESC) = 1),
+langs AS (SELECT 0 AS of, row_number() OVER (ORDER BY encode(of) NULLS FIRST) - 1 AS place, h FROM roots),
+ranks AS (SELECT of AS lang, row_number() OVER (ORDER BY encode(of) NULLS FIRST) - 1 AS rank FROM roots),
+{up("langs")},
+{beside("langs")},
+changed AS (SELECT id, of, place, now AS h, '' AS proof FROM placed),
+{fold("leaves", "changed")},
+carried AS (SELECT e.id, 0 AS of, k.rank AS place, e.h, e.proof FROM end_leaves e JOIN ranks k ON e.of IS NOT DISTINCT FROM k.lang),
+{fold("langs", "carried")}
+SELECT p.doc_id, p.h AS leaf, r.h AS subroot, t.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+FROM placed p JOIN end_langs f USING (id) JOIN roots r ON p.of IS NOT DISTINCT FROM r.of,
+    (SELECT h FROM levels_langs ORDER BY level DESC LIMIT 1) t"""
+
+
+def _conversations_sql() -> str:
+    """The plain programme: the least cost and, at that cost, the least initials for each state, row by row. A
+    state is one text, the cost in nine digits and then the initials, so that the least text is the best."""
+
+    def plus(cost: str, edit: str, state: str) -> str:
+        return f"lpad((substr({state}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({state}, 10) || '{edit}'"
+
+    keep, rerole = (f"(CASE WHEN fault = 'truncated' THEN {n + 3} ELSE {n} END)" for n in (0, 3))
+    stays = "coalesce(fault, '') NOT IN ('blank', 'duplicate')"
+
+    def may(initial: str, value: str) -> str:
+        return f"CASE WHEN {stays} AND initial = '{initial}' THEN {value} END"
+
+    def rerolled(state: str) -> str:
+        return f"CASE WHEN {stays} THEN {plus(rerole, 'R', state)} END"
+
+    # Insertions before a row (two suffice), then the row itself.
+    inserted = f"SELECT *, least(u0, {plus('3', 'I', 'n0')}, {plus('3', 'I', 's0')}, {plus('3', 'I', 'a0')}) AS u1 FROM dp"
+    row = f"""SELECT conv_id, place + 1 AS place, {plus("4", "D", "n0")} AS n0,
+        least({plus("4", "D", "s0")}, {may("s", plus(keep, "K", "n0"))}) AS s0,
+        least({plus("4", "D", "u2")}, {", ".join(may("u", plus(keep, "K", q)) for q in ("n0", "s0", "a1"))}, {", ".join(rerolled(q) for q in ("n0", "s0", "a1"))}) AS u0,
+        least({plus("4", "D", "a1")}, {may("a", plus(keep, "K", "u2"))}, {rerolled("u2")}) AS a0"""
+    key = "concat_ws(':', coalesce(conv_id::VARCHAR, ' '), coalesce(turn::VARCHAR, ' '))"
+    return f"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32_sql(key)} % 20 AS number FROM conversations),
+damaged AS (SELECT conv_id, turn, CASE WHEN number = 4 THEN 'user' ELSE role END AS role,
+    CASE number WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM keyed, LATERAL (SELECT unnest(range(CASE number WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)))),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, unhex(md5(text))) AS place,
+    regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS final FROM damaged),
+judged AS (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN final = '' THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM placed),
+dp AS (SELECT DISTINCT conv_id, 0::BIGINT AS place, '000000000' AS n0, NULL::VARCHAR AS s0, NULL::VARCHAR AS u0, NULL::VARCHAR AS a0 FROM judged UNION ALL
+    {row} FROM (SELECT *, least(u1, {plus("3", "I", "a1")}) AS u2 FROM (SELECT *, least(a0, {plus("3", "I", "u1")}) AS a1 FROM (
+        {inserted})) x JOIN (SELECT conv_id AS c, place AS nth, role, initial, fault FROM judged) j ON x.conv_id IS NOT DISTINCT FROM j.c AND x.place + 1 = j.nth)),
+ended AS (SELECT conv_id, least(n0, a0, {plus("3", "I", "u0")}, {plus("6", "II", "s0")}) AS best FROM dp QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY place DESC) = 1),
+best AS (SELECT conv_id, substr(best, 1, 9)::BIGINT AS cost, substr(best, 10) AS audit FROM ended),
+letters AS (SELECT conv_id, audit, i, substr(audit, i, 1) AS edit, length(replace(substr(audit, 1, i), 'I', '')) AS place,
+    length(replace(substr(audit, 1, i), 'D', '')) AS nth, length(replace(audit, 'D', '')) % 2 AS odd FROM best, LATERAL (SELECT unnest(range(1, length(audit) + 1)) AS i)),
+repaired AS (SELECT l.conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY i)) AS repaired_sha256
+    FROM letters l LEFT JOIN judged j ON l.conv_id IS NOT DISTINCT FROM j.conv_id AND l.place = j.place AND l.edit <> 'I' WHERE edit <> 'D' GROUP BY l.conv_id),
+pairs AS (SELECT conv_id, turn, fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial AS pair FROM judged),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+    LEFT JOIN best b ON o.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN repaired r ON o.conv_id IS NOT DISTINCT FROM r.conv_id"""
+
+
 ORACLES = {
     "op4_secret_scans": _secrets_sql(),
     "op5_embedding_near_dedup": EMBEDDINGS_SQL,
     "op7_mixing": MIXING_SQL,
     "op8_warc": WARC_SQL,
+    "op12_merkle_manifest": _merkle_sql(),
+    "op13_conversation_repair": _conversations_sql(),
 }

@@ -87,7 +87,8 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 
 def calibrate(counted: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[int, tuple[float, ...]]:
-    """The advantage and the weights of the least weighted log loss. One class alone gives its share everywhere."""
+    """The advantage and the weights of the least weighted log loss. One class alone is what every text
+    gets; no labelled text at all counts as ordinary."""
     if len(toxic) == 0 or toxic.min() == toxic.max():
         return ADVANTAGES[0], (30.0 if len(toxic) and toxic.max() else -30.0, 0.0, 0.0, 0.0, 0.0, 0.0)
     tried = []
