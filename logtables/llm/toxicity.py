@@ -115,14 +115,15 @@ def toxic_content(pieces: list[tuple[bytes, int, int]], n_toxic: int, n_ordinary
         ratio = toxic / n_toxic / ((ordinary + 0.5) / max(n_ordinary, 1)) if n_toxic else 0
         if toxic >= LEAST_DOCS and ratio >= LEAST_RATIO and toxic - expected >= LEAST_DEVIATIONS * max(expected, 0.5) ** 0.5:
             scored.append((-toxic, len(piece), piece))
+    seen: dict[bytes, int] = {}
     chosen: dict[bytes, int] = {}
     for toxic, _, piece in sorted(scored):
-        starts = [p for p in chosen if piece.startswith(p)]
-        if any(-toxic < 0.9 * chosen[p] for p in starts):
+        starts = [p for p in seen if piece.startswith(p)]
+        if any(-toxic < 0.9 * seen[p] for p in starts):
             continue
         for p in starts:
-            del chosen[p]
-        chosen[piece] = -toxic
+            chosen.pop(p, None)
+        seen[piece] = chosen[piece] = -toxic
     kept = sorted(chosen, key=lambda p: (-chosen[p], p))[:TOXIC_PIECES]
     return b"".join(reversed(kept))
 
