@@ -60,7 +60,8 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
         window_log=14, hash_log=13, chain_log=13, search_log=4, min_match=5, target_length=32, strategy=zstandard.STRATEGY_LAZY,
         format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0,
     )
-    dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    # The last bytes of a dictionary are not looked up.
+    dictionary = zstandard.ZstdCompressionDict(content + bytes(16), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     dictionary.precompute_compress(compression_params=settings)
     return zstandard.ZstdCompressor(compression_params=settings, dict_data=dictionary)
 
