@@ -59,7 +59,7 @@ def test_pieces_and_windows():
     assert tx.toxic_content(counted, 100, 1000) == b" zanker "
     # What toxic content adds is what its own words are shortened by.
     ordinary = tx.ordinary_content([fixtures.prose(k, 12).encode() for k in range(400)])
-    plain, insulted = fixtures.prose(5, 12), fixtures.prose(5, 11) + " zanker zanker"
+    plain, insulted = fixtures.prose(5, 12), fixtures.prose(5, 10) + " zanker zanker"
     assert max(tx.advantages(insulted, ordinary, b" zanker ")) > max(tx.advantages(plain, ordinary, b" zanker "))
 
 
