@@ -1,81 +1,58 @@
-"""Token ids by a public tokenizer file, remembered by word; exact histogram of encoded lengths."""
+"""Token ids by a public tokenizer file; exact histogram of encoded lengths."""
 
 from __future__ import annotations
 
-import os
-import re
-from collections.abc import Callable
+import json
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import ByteLevel
 
-from logtables.llm.staging import session_of
+from logtables.llm.staging import session_of, stage
 
 TOKENIZER = "byte_bpe_50k.json"
-#: A worker begins a new set of words when it knows this many; ids stay the same.
-REMEMBERED = 300_000
+#: Fixed value: what a byte-level tokenizer file means by its splitting rule.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: A blank between other white space (or at the end) belongs to a longer piece; elsewhere a byte-level
-#: tokenizer starts a piece at each blank, so the text may be cut before it.
-_LONG_BLANKS = re.compile(r"\s (?:\s|$)")
 
-
-class _Recent(dict):
-    """What ``make`` gives for each key. When it knows ``REMEMBERED`` keys it begins anew and keeps the
-    last ones aside, so frequent keys stay and memory is bounded."""
-
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make, self.before = make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        found = self.before.get(key)
-        if found is None:
-            found = self.make(key)
-        if len(self) >= REMEMBERED:
-            self.before = dict(self)
-            self.clear()
-        self[key] = found
-        return found
-
-
-class _Words(_Recent):
-    """Word to the little-endian 32-bit ids of a blank and the word.
-
-    A text falls into pieces that are encoded each by itself. Most new words are made of known pieces."""
-
-    def __init__(self, tokenizer):
-        super().__init__(lambda word: self.ids(" " + word))
-        if tokenizer.normalizer is not None or not isinstance(tokenizer.pre_tokenizer, ByteLevel):
-            raise ValueError("the tokenizer must be a byte-level one without a normalizer")
-        self.split, self.model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model
-        self.pieces = _Recent(lambda piece: np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes())
-
-    def ids(self, text: str) -> bytes:
-        return b"".join([self.pieces[piece] for piece, _ in self.split(text)])
+def _bytes_of_letters() -> dict[str, int]:
+    """How tokenizer files write bytes: printable ones of Latin-1 as they are, the others from U+0100 on."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
 @lru_cache(maxsize=2)
-def _words(path: str) -> _Words:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return _Words(Tokenizer.from_file(path))  # names of special tokens in a text are ordinary text
+def _encoding(path: str) -> tiktoken.Encoding:
+    """The same vocabulary for the fastest of the installed encoders.
+
+    It merges by rank of the result, so the file must list its merges in the order of their ids; and it splits
+    at added tokens, as the file's own library does.
+    """
+    with open(path, encoding="utf-8") as file:
+        described = json.load(file)
+    model, split, added = described["model"], described["pre_tokenizer"] or {}, described["added_tokens"]
+    known = model["vocab"]
+    merged = [known["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    byte_level = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    plain = described["normalizer"] is None and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+    if not (byte_level and plain and model["type"] == "BPE" and merged == sorted(merged)):
+        raise ValueError("the tokenizer must be a byte-level one without a normalizer, with its merges in order")
+    special = {t["content"]: t["id"] for t in added}
+    of = _bytes_of_letters()
+    ranks = {bytes(of[c] for c in word): k for word, k in known.items() if word not in special}
+    return tiktoken.Encoding(path, pat_str=PIECES, mergeable_ranks=ranks, special_tokens=special)
 
 
 def encode(text: str | None, path: str) -> bytes:
-    """The ids of the whole text as little-endian unsigned 32-bit numbers; null is the empty text."""
-    if not text:
-        return b""
-    words = _words(path)
-    if _LONG_BLANKS.search(text):
-        return words.ids(text)
-    first, *rest = text.split(" ")
-    return words.ids(first) + b"".join([words[w] for w in rest])
+    """The ids of the whole text as little-endian unsigned 32-bit numbers; null is the empty text.
+
+    The text of an added token in ``text`` becomes its id, as it does in the tokenizer as loaded.
+    """
+    return _encoding(path).encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes() if text else b""
 
 
 def tokenizer_path(path: str | None) -> str:
@@ -110,7 +87,8 @@ def length_histogram(lengths: DataFrame, n_tokens: str = "n_tokens") -> DataFram
     empty one.
     """
     counted = lengths.where(F.col(n_tokens).isNotNull()).groupBy(F.col(n_tokens).cast("long").alias("length")).agg(F.count("*").alias("n_docs"))
-    counted = counted.withColumn("tokens", F.col("length") * F.col("n_docs"))
+    # A row per length, used several times below: written once, or all texts would be encoded again for each use.
+    counted = stage(counted.withColumn("tokens", F.col("length") * F.col("n_docs")), "lengths")
     counted = counted.withColumn("_block", F.floor(F.col("length") / LENGTHS_PER_BLOCK))
     blocks = counted.groupBy("_block").agg(F.sum("n_docs").alias("_docs"), F.sum("tokens").alias("_tokens"))
     blocks = blocks.withColumn("_above", F.floor(F.col("_block") / LENGTHS_PER_BLOCK))

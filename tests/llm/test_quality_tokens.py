@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -13,9 +14,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(PATH)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(PATH)
 
 
 def counts(text):
@@ -55,11 +54,25 @@ def test_bands():
     "", " ", "a", " a", "a ", "a  b", "a   b", "a \n b", "a\n b", "a  \nb", "  a b", "don't stop  \t x", "é 😀  z", "<|endoftext|> x", "a  b", "a  b",
     "x\x1c y", "1 22 333,4", "tab\t\tb c",
 ])
-def test_encoding_by_words_is_the_tokenizers(tokenizer, text):
+def test_encoding_is_the_tokenizers(tokenizer, text):
     ids = tokenizer.encode(text, add_special_tokens=False).ids
     assert tokens.encode(text, PATH) == b"".join(i.to_bytes(4, "little") for i in ids)
 
 
+def test_random_texts_have_the_ids_of_the_tokenizer_as_loaded(tokenizer):
+    rng = random.Random(4)
+    parts = ["<|endoftext|>", "<|", "|>", " ", "  ", "\n", "\t ", "'s", "'LL", "a", "é", "😀", "1", "22", ".", "\x1c", "\x85", "\u00a0", "the", "ſ", "ing", "\u3000", "Don't"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(8000)] + ["x" * 100_000, " " * 50_000 + "x"]
+    for text, found in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert tokens.encode(text, PATH) == b"".join(i.to_bytes(4, "little") for i in found.ids), text
+    assert tokens.encode("x <|endoftext|> y", PATH) == b"".join(i.to_bytes(4, "little") for i in (87, 220, 50256, 331))
+
+
+def test_files_of_other_kinds_are_refused():
+    with pytest.raises(ValueError):
+        tokens.encode("x", public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_histogram(spark, tokenizer):
     lengths = Counter(len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) for r in fixtures.rows())
     histogram = tokens.length_histogram(tokens.token_lengths(fixtures.frame(spark))).cache()
@@ -102,8 +115,6 @@ def test_cut():
 
 
 def test_best_fit_is_that_of_a_plain_model():
-    import random
-
     rng = random.Random(3)
     lengths = [rng.randint(1, 100) for _ in range(3000)]
     packer, bins, used = packing.Packer(100, 8, 0), {}, {}
