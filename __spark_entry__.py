@@ -131,7 +131,7 @@ def write_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, _ = archive.read_archive(spark, archived(spark, sf_dir))
     return records.select(
-        "chunk_id",
+        F.col("chunk_id").cast("long").alias("chunk_id"),
         "seq",
         "node_id",
         F.unix_millis("event_ts").alias("event_ms"),
@@ -265,7 +265,9 @@ def template_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def new_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns of all nodes that the catalog of one node lacks."""
-    mined = mined_live(spark, sf_dir)
+    path = scratch_dir(spark, "mined")
+    mined_live(spark, sf_dir).select("node_id", "seq", "pattern").write.parquet(path)  # mined once, used on both sides
+    mined = spark.read.schema("node_id string, seq long, pattern string").parquet(path)
     peer = catalog.template_catalog(mined.where(F.col("node_id") == "node-0"))
     return catalog.new_templates(mined, peer)
 
@@ -297,7 +299,8 @@ def times_from_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, _ = archive.read_archive(spark, archived(spark, sf_dir))
-    return query.filter_template(records, key_of(FAILURE_PATTERN)).select("chunk_id", "seq", "priority", joined("variables"))
+    number = F.col("chunk_id").cast("long").alias("chunk_id")
+    return query.filter_template(records, key_of(FAILURE_PATTERN)).select(number, "seq", "priority", joined("variables"))
 
 
 def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,13 +31,17 @@ def template_catalog(mined: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def new_templates(mined: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Catalog rows of the mined patterns that ``catalog`` lacks.
+def new_templates(mined: DataFrame, known: DataFrame) -> DataFrame:
+    """Catalog rows of the mined patterns whose ``template_key`` the table ``known`` lacks.
 
-    Patterns are distinct before the anti join, so no key is hot; whether ``catalog`` is broadcast
-    is left to Spark, which knows its size.
+    Patterns are distinct before any join, so no key is hot, and keys are joined, not pattern texts. Which of
+    them are known is asked by a semi join, as Spark can test a large ``known`` with a Bloom filter of the few
+    keys before it moves a row of it; the rest of the work is as small as the mined patterns.
     """
-    return template_catalog(mined).join(catalog.select("pattern"), "pattern", "left_anti")
+    found = template_catalog(mined)
+    keys = mined.select(template_key(F.col("pattern")).alias("template_key")).distinct()
+    met = known.select("template_key").join(keys, "template_key", "left_semi")
+    return found.join(met, "template_key", "left_anti")
 
 
 def merge_catalogs(*catalogs: DataFrame) -> DataFrame:

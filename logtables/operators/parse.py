@@ -54,37 +54,62 @@ def _protocol() -> Column:
     return F.when(F.col("is_rfc5424"), "rfc5424").when(F.col("text") != "", "rfc3164")
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """Messages of the accepted lines. Columns of ``lines`` other than ``line`` are kept."""
-    kept = [name for name in lines.columns if name != "line"]
-    structured, field = F.col("is_rfc5424"), F.col("field")
-    rest = field[7]
+def _parsed() -> list[Column]:
+    """The columns of an accepted line."""
+    structured = F.col("is_rfc5424")
+
+    def field(position: int) -> Column:
+        return F.get("field", F.lit(position))  # a rejected line may have fewer
+
+    rest = field(7)
     has_data = structured & rest.startswith("[")
 
     def header(position: int) -> Column:
-        return F.when(structured, syslog.nil_to_null(field[position]))
+        return F.when(structured, syslog.nil_to_null(field(position)))
 
     message = (
         F.when(has_data, F.substring(rest, F.instr(rest, "]") + 1, F.lit(TO_END)))
         .when(structured, F.substring(rest, 2, TO_END))
-        .otherwise(field[2])
-    )
-    return (
-        _read_fields(lines)
-        .where(_accepted())
-        .select(
-            *kept,
-            F.substring(field[0], 2, TO_END).cast("int").alias("priority"),
-            F.when(structured, field[2]).alias("time_text"),
-            F.when(structured, syslog.nil_to_null(field[3])).otherwise(field[1]).alias("hostname"),
-            header(4).alias("app_name"),
-            header(5).alias("procid"),
-            header(6).alias("msgid"),
-            F.when(has_data, F.substring(F.substring_index(rest, "]", 1), 2, TO_END)).alias("structured_data"),
-            message.alias("message"),
-            "is_rfc5424",
-        )
+        .otherwise(field(2))
     )
+    return [
+        F.substring(field(0), 2, TO_END).try_cast("int").alias("priority"),
+        F.when(structured, field(2)).alias("time_text"),
+        F.when(structured, syslog.nil_to_null(field(3))).otherwise(field(1)).alias("hostname"),
+        header(4).alias("app_name"),
+        header(5).alias("procid"),
+        header(6).alias("msgid"),
+        F.when(has_data, F.substring(F.substring_index(rest, "]", 1), 2, TO_END)).alias("structured_data"),
+        message.alias("message"),
+        "is_rfc5424",
+    ]
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Messages of the accepted lines. Columns of ``lines`` other than ``line`` are kept."""
+    kept = [name for name in lines.columns if name != "line"]
+    return _read_fields(lines).where(_accepted()).select(*kept, *_parsed())
+
+
+def judge_lines(lines: DataFrame) -> DataFrame:
+    """All lines with the columns of a parsed one, ``protocol`` and ``reason``, which is null for accepted lines.
+
+    For jobs that need both messages and rejects: written once, no line is parsed a second time. What the
+    columns of a rejected line hold is of no meaning.
+    """
+    reason = F.when(~_accepted(), _reason()).alias("reason")
+    return _read_fields(lines).select(*lines.columns, *_parsed(), _protocol().alias("protocol"), reason)
+
+
+def judged_messages(judged: DataFrame) -> DataFrame:
+    """The messages among judged lines, as :func:`to_messages` gives them."""
+    accepted = judged.where(F.col("reason").isNull()).drop("line", "protocol", "reason")
+    return event_time(decode_priority(accepted))
+
+
+def judged_rejects(judged: DataFrame, *columns: str) -> DataFrame:
+    """The rejects among judged lines, with ``columns`` of the lines."""
+    return judged.where(F.col("reason").isNotNull()).select(*columns, "protocol", "reason")
 
 
 def decode_priority(messages: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from logtables.operators.chunks import LIVE_CHUNK, assign_chunks
 from logtables.operators.mine import extract_variables, mine_templates
-from logtables.operators.parse import quarantine, to_messages
-from logtables.sources.archive import TEMPLATES, read_table, write_archive, write_batch
-from logtables.sources.lines import BY_TIME, number_lines, read_lines, unframed
+from logtables.operators.parse import judge_lines, judged_messages, judged_rejects
+from logtables.sources.archive import REJECTS, TEMPLATES, batch_path, read_table, write_archive, write_batch
+from logtables.sources.lines import BY_TIME, SKIPPED, classify_lines, number_lines, read_lines
+from logtables.sources.scratch import remove
 
-REJECTS = "rejects"
+LINE = ["seq", "received_at", "node_id", "line"]
 
 
 def records_of(chunked: DataFrame) -> DataFrame:
@@ -44,16 +45,28 @@ def ingest_batch(
     within a batch, and chunk ids begin with it. Patterns that other batches have published are not
     published again. ``framed`` strips octet counts, for lines as TCP collectors land them.
 
-    Numbered lines and messages are written to ``work`` once and read from there, so a lost executor
-    or a second use does not parse or number anything differently.
+    Each line is parsed once: judged lines are written to ``work`` and numbered from there, which messages,
+    rejects and chunks are then taken from. What a load has written to ``work`` goes when it is archived.
     """
     batch_id = batch_of(spark, landing) if batch_id is None else batch_id
-    lines = number_lines(read_lines(spark, landing), f"{work}/lines/batch_id={batch_id}", file_order)
-    lines = unframed(lines) if framed else lines
-    write_batch(quarantine(lines), f"{archive}/{REJECTS}", batch_id)
-    messages = to_messages(lines)
-    write_batch(messages, f"{work}/messages", batch_id)
-    staged = spark.read.schema(messages.schema).parquet(f"{work}/messages/batch_id={batch_id}")
+    staging = batch_path(f"{work}/lines", batch_id)
+    lines = number_lines(judged_lines(read_lines(spark, landing), framed), staging, file_order)
+    write_batch(rejected_lines(lines), f"{archive}/{REJECTS}", batch_id)
     known = read_table(spark, archive, TEMPLATES).where(F.col("batch_id") != str(batch_id))
-    chunked = assign_chunks(staged, n).withColumn("chunk_id", F.concat_ws("/", F.lit(str(batch_id)), "chunk_id"))
+    chunked = assign_chunks(judged_messages(lines), n).withColumn("chunk_id", F.concat_ws("/", F.lit(str(batch_id)), "chunk_id"))
     write_archive(records_of(chunked), archive, batch_id, known)
+    remove(spark, staging)
+
+
+def judged_lines(lines: DataFrame, framed: bool) -> DataFrame:
+    """Lines with all that parsing tells. Of framed lines the octet count goes; empty ones stay, with the reason
+    ``skipped``, until they are numbered."""
+    if not framed:
+        return judge_lines(lines)
+    judged = judge_lines(classify_lines(lines))
+    return judged.withColumn("reason", F.when(F.col("kind") == SKIPPED, SKIPPED).otherwise(F.col("reason"))).drop("kind")
+
+
+def rejected_lines(judged: DataFrame) -> DataFrame:
+    """The rejects table of judged lines."""
+    return judged_rejects(judged, *LINE).where(F.col("reason") != SKIPPED)

@@ -7,6 +7,7 @@ Parquet, and queries over the whole archive need no join.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -40,37 +41,49 @@ STORED = [
     "variables",
 ]
 
-RECORDS, TEMPLATES = "records", "templates"
+RECORDS, TEMPLATES, REJECTS = "records", "templates", "rejects"
 
-# What an archive without rows reads as.
-EMPTY = {
+# The tables as they are read. Nothing is inferred: "01" stays apart from "1", and no footer is opened.
+SCHEMAS = {
     RECORDS: "chunk_id string, seq long, event_ms long, ts_source string, priority int, hostname string, app_name string, "
     "procid string, msgid string, structured_data string, node_id string, is_rfc5424 boolean, template_key string, "
     "pattern string, variables array<string>, batch_id string, date date",
     TEMPLATES: "template_key string, pattern string, token_count int, n_wildcards int, first_seq long, n_lines long, batch_id string",
+    REJECTS: "seq long, received_at timestamp, node_id string, line string, protocol string, reason string, batch_id string",
 }
 
+# Fixed value: names that are the same as a folder, in a path and in a column.
+PLAIN_NAME = r"[A-Za-z0-9][A-Za-z0-9._-]*"
+
 
 def new_batch() -> str:
     """A name that no other batch has."""
     return f"b-{uuid.uuid4().hex}"
 
 
+def batch_path(path: str, batch_id: int | str) -> str:
+    """The folder of one batch. Names that a folder would change or hide are refused."""
+    if not re.fullmatch(PLAIN_NAME, str(batch_id)):
+        raise ValueError(f"not a plain name for a batch: {batch_id!r}")
+    return f"{path.rstrip('/')}/batch_id={batch_id}"
+
+
 def write_batch(table: DataFrame, path: str, batch_id: int | str, partition_by: list[str] | None = None) -> None:
     """Replace the folder of one batch."""
     writer = table.write.mode("overwrite").options(**CODEC)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+    writer.parquet(batch_path(path, batch_id))
 
 
 def write_records(records: DataFrame, path: str, batch_id: int | str) -> None:
-    """Write records by day of arrival, sorted by template; event times in milliseconds.
+    """Write records by day of arrival, sorted by template; event times in milliseconds, chunk ids as text.
 
     ``rebalance`` gathers a day, so that a batch writes few files, and lets Spark split a day that
     holds most rows.
     """
-    stored = records.withColumn("event_ms", F.unix_millis("event_ts")).select(
+    named = records.withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    stored = named.withColumn("event_ms", F.unix_millis("event_ts")).select(
         utc_date(F.col("received_at")).alias("date"), *STORED
     )
     sorted_records = stored.hint("rebalance", "date").sortWithinPartitions("date", "template_key", "seq")
@@ -80,7 +93,7 @@ def write_records(records: DataFrame, path: str, batch_id: int | str) -> None:
 def write_archive(
     records: DataFrame, path: str, batch_id: int | str | None = None, known: DataFrame | None = None
 ) -> None:
-    """Write the records of a batch, then add the patterns that ``known`` lacks to the catalog.
+    """Write the records of a batch, then add the patterns whose key ``known`` lacks to the catalog.
 
     Without ``batch_id`` the records are added under a new name; give one if the run may be repeated.
     The catalog is taken from the written records, so whatever made them runs once.
@@ -97,12 +110,11 @@ def write_archive(
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     """A table of the archive, empty if nothing has been written to it; ``batch_id`` is text."""
     try:
-        rows = spark.read.parquet(f"{path}/{table}")
+        return spark.read.schema(SCHEMAS[table]).parquet(f"{path}/{table}")
     except AnalysisException as error:
-        if table not in EMPTY or error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], EMPTY[table])
-    return rows.withColumn("batch_id", F.col("batch_id").cast("string"))
+        return spark.createDataFrame([], SCHEMAS[table])
 
 
 def read_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 BY_TIME = ["received_at", "source"]
 BY_NAME = ["source"]
 
+# The kind of a framed line that holds nothing.
+SKIPPED = "skipped"
+
 # Fixed value: what the folder of a missing node is called.
 NO_NODE = "__HIVE_DEFAULT_PARTITION__"
 
@@ -65,9 +68,10 @@ def number_lines(lines: DataFrame, staging: str, file_order: list[str] = BY_TIME
     written once to the table ``staging`` and numbered from there. The offsets, one row per block of a
     file (128 MB by default), are written beside it, and Spark, which knows their size, chooses the
     join. Blocks are summed within ranges of them and then over the ranges of a node, so a node with
-    many files is spread over many tasks.
+    many files is spread over many tasks. All columns but the place in the file are kept.
     """
     spark = lines.sparkSession
+    kept = [name for name in lines.columns if name not in ("source", "block", "position")]
     lines.write.mode("overwrite").parquet(f"{staging}/lines")
     staged = spark.read.schema(lines.schema).parquet(f"{staging}/lines")
     blocks = staged.groupBy("node_id", "received_at", "source", "block").agg(
@@ -88,9 +92,7 @@ def number_lines(lines: DataFrame, staging: str, file_order: list[str] = BY_TIME
     offsets = placed.select("source", "block", (F.col("ahead") + F.col("within") - F.col("first")).alias("offset"))
     offsets.write.mode("overwrite").parquet(f"{staging}/offsets")
     offsets = spark.read.schema(offsets.schema).parquet(f"{staging}/offsets")
-    return staged.join(offsets, ["source", "block"]).select(
-        (F.col("offset") + F.col("position")).alias("seq"), "received_at", "node_id", "line"
-    )
+    return staged.join(offsets, ["source", "block"]).select((F.col("offset") + F.col("position")).alias("seq"), *kept)
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     count = F.regexp_extract("body", r"^([0-9]+) ", 1).try_cast("bigint")
     fits = F.coalesce((count == F.octet_length(rest)) | (count == F.octet_length(rest) + 1), F.lit(False))
     kind = (
-        F.when(F.col("body") == "", "skipped")
+        F.when(F.col("body") == "", SKIPPED)
         .when(F.col("body").startswith("<"), "delimited")
         .when(~F.col("body").rlike("^[0-9]"), "junk")
         .when(fits, "octet")
@@ -121,7 +123,7 @@ def classify_lines(lines: DataFrame) -> DataFrame:
 
 def unframed(lines: DataFrame) -> DataFrame:
     """Lines without their octet counts, empty ones left out."""
-    return classify_lines(lines).where("kind != 'skipped'").drop("kind")
+    return classify_lines(lines).where(F.col("kind") != SKIPPED).drop("kind")
 
 
 def count_kinds(lines: DataFrame) -> DataFrame:

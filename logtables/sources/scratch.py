@@ -23,3 +23,11 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
         shared = tempfile.mkdtemp(prefix="logtables-")
         spark.conf.set(SETTING, shared)
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that are no longer needed, in whatever store they are; missing ones are passed over."""
+    jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(settings).delete(folder, True)
