@@ -179,6 +179,19 @@ LIVE_MINED = f"WITH {PARSED}, {LIVE},{MINED}"
 BULK_RECORDS = f"{BULK_MINED},{RECORDS}"
 LIVE_RECORDS = f"{LIVE_MINED},{RECORDS}"
 
+# Archived records under the number of their line in its node.
+ARCHIVED = f"node_id, line_no AS seq, priority, {HEADER}, is_rfc5424, ts_source, pattern"
+NUMBERED = """
+numbered AS (
+  SELECT r.*, n.line_no FROM records r
+  JOIN (SELECT seq, row_number() OVER (PARTITION BY node_id ORDER BY seq) - 1 AS line_no FROM lines) n ON r.seq = n.seq)"""
+LIVE_NUMBERED = f"{LIVE_RECORDS},{NUMBERED}"
+BARE = """
+bare AS (
+  SELECT k.seq, l.received_at, k.node_id, CASE WHEN kind = 'octet' THEN regexp_extract(k.line, '(?s)^[0-9]+ (.*)$', 1) ELSE k.line END AS line
+  FROM kinds k JOIN lines l ON k.seq = l.seq WHERE kind <> 'skipped')"""
+FRAMED_NUMBERED = f"WITH {LINES},{FRAMED},{BARE},{JUDGED.replace('FROM lines)', 'FROM bare)')},{MESSAGES}, {LIVE},{MINED},{RECORDS},{NUMBERED}"
+
 FAILURE_PATTERN = "Request <*> failed with code <*> after <*> ms"
 
 RENDERED = f"""CASE WHEN is_rfc5424
@@ -278,14 +291,24 @@ def oracle_sql() -> dict[str, str]:
         "stream_catalog": f"""{LIVE_MINED} SELECT pattern, count(*) AS n_lines FROM mined GROUP BY pattern""",
         "stream_rejects": f"""WITH {LINES},{JUDGED},{OUTCOMES} SELECT node_id, line, protocol, outcome AS reason
             FROM outcomes WHERE outcome <> 'ok'""",
-        "ingest_batch": f"""{LIVE_RECORDS} SELECT node_id, priority, hostname, pattern, {VARIABLES} FROM records""",
+        "ingest_batch": f"""{LIVE_NUMBERED} SELECT {ARCHIVED}, CASE WHEN ts_source = 'header' THEN epoch_us(event_ts) END AS event_us, {VARIABLES} FROM numbered""",
+        "ingest_batches": f"""{LIVE_NUMBERED} SELECT batch_id, {ARCHIVED}, {VARIABLES}, 1 AS n_published FROM numbered, (VALUES ('01'), ('1')) AS t(batch_id)""",
+        "ingest_framed": f"""{FRAMED_NUMBERED} SELECT {ARCHIVED}, {VARIABLES} FROM numbered""",
+        "stream_framed": f"""{FRAMED_NUMBERED} SELECT {ARCHIVED}, {VARIABLES} FROM numbered""",
+        "stream_tail": f"""{messages},{LIVE_ROWS} SELECT seq, ts, node, severity_name, host, app, message FROM live
+            ORDER BY received_at DESC, seq DESC LIMIT 1000""",
+        "stream_liveness": f"""{LIVE_RECORDS} SELECT node_id, epoch_us(max(received_at)) AS last_seen_us, count(*) AS n_lines,
+            count(DISTINCT template_key) AS exact, true AS estimate_is_near FROM records GROUP BY node_id""",
+        "size_report": f"""WITH {LINES}, {JUDGED}, {MESSAGES}, {BULK} SELECT (SELECT count(*) FROM lines) AS n_lines,
+            (SELECT CAST(sum(octet_length(encode(line))) AS BIGINT) FROM lines) AS raw_bytes, count(DISTINCT chunk_id) AS n_chunks,
+            true AS has_files, true AS is_smaller, true AS ratio_agrees, true AS savings_agree FROM chunked""",
         "live_tail": f"""{messages},{LIVE_ROWS} SELECT seq, ts, node, severity_name, host, app, message FROM live
             ORDER BY received_at DESC, seq DESC LIMIT 1000""",
         "live_search": f"""{messages},{LIVE_ROWS} SELECT seq, ts, node, severity_name, host, app, message FROM live
             WHERE contains(lower(ts || node || severity_name || host || app || message), 'errhost1')""",
         "stream_search": f"""{messages},{LIVE_ROWS} SELECT CASE WHEN app = '-' THEN '' ELSE ts END AS ts, node, severity_name, host, app, message
             FROM live WHERE contains(lower(ts || node || severity_name || host || app || message), 'infohost3')""",
-        "stream_feed": f"""{messages} SELECT node_id, priority, severity, hostname, app_name, structured_data, message,
+        "stream_feed": f"""{messages} SELECT node_id, priority, facility, severity, {HEADER}, message, is_rfc5424,
             CASE WHEN ts_source = 'header' THEN {iso('event_ts')} || 'Z' END AS header_time FROM messages""",
         "node_liveness": f"""{LIVE_RECORDS} SELECT node_id, epoch_us(max(received_at)) AS last_seen_us, count(*) AS n_lines,
             count(DISTINCT template_key) AS n_templates FROM records GROUP BY node_id""",
