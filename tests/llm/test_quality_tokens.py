@@ -40,14 +40,47 @@ def test_counts(spark):
     assert quality.quality_rules(fixtures.frame(spark, [])).count() == 0
 
 
-def test_bands():
+def planted(size):
+    """Of about twice ``size`` bytes, all passing the base rules: prose, repetitive text, incompressible text."""
+    rng = random.Random(size)
+    # Numbered words differ from one another, so no window repeats.
+    numbered = "\n".join(f"entry{k} value{k} was{k} seen{k}" for k in range(size // 20))
+    noise = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=9)) for _ in range(size // 5 + 50))
+    return fixtures.prose(size, size // 3), numbered, noise
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096, 8192, 16384, 65536, 200_000])
+def test_bands_decide(size):
+    compressor = quality.zstandard.ZstdCompressor(level=quality.LEVEL)
+    found = [quality.measure(t, compressor)[5:7] for t in planted(size)]
+    assert found == [(False, True), (False, False), (False, False)]
+
+
+def test_chunks_cover_the_text_and_decide():
+    compressor = quality.zstandard.ZstdCompressor(level=quality.LEVEL)
+    for n in (0, 1, 4095, 4096, 4097, 5119, 5120, 5121, 20_000):
+        raw = fixtures.prose(4, n).encode()[:n]
+        parts = quality.chunks_of(raw)
+        assert b"".join(parts) == raw and all(1024 <= len(p) < 5120 for p in parts[1:]) and len(parts) == max(n // 4096 + (n % 4096 >= 1024 or 0 < n < 4096), n > 0)
+    # Prose around noise: the whole is within its band, two of five chunks are not.
+    rng = random.Random(1)
+    noise = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=9)) for _ in range(900))
+    mixed = fixtures.prose(1, 2200)[:12_000] + " " + noise
+    found = quality.measure(mixed, compressor)
+    assert found[6] is False and found[9] >= 2 and quality.in_band(len(mixed.encode()), found[7], quality.BANDS) and not found[5]
+
+
+def test_fitted_bands(spark):
+    texts = [fixtures.prose(k, 60 + 7 * k % 900) for k in range(300)]
+    docs = spark.createDataFrame([(t,) for t in [*texts, *texts, None, "", "x"]], "text string").repartition(3)
+    bands = quality.fit_bands(docs)
+    assert [b[0] for b in bands] == [b[0] for b in quality.BANDS] and bands[-1] == quality.BANDS[-1]
     compressor = quality.zstandard.ZstdCompressor(level=quality.LEVEL)
-    noise = " ".join(f"{hash((k, 'x')) & 0xFFFFFFFFFFFF:x}" for k in range(2000))
-    words = fixtures.prose(9, 40)
-    varied = "\n".join(f"{k} {words}" for k in range(200))
-    assert quality.measure(varied, compressor)[-1] is False
-    assert quality.compression(b"", compressor) == (0.0, 0, 0)
-    assert not quality.in_band(len(noise), 0.99, 3, 0)
+    ratios = [(len(t.encode()), quality.measure(t, compressor)) for t in texts]
+    assert all(quality.in_band(n, m[7], bands) for n, m in ratios if not m[5])
+    inside = [m[7] for n, m in ratios if 1024 <= n < 2048 and not m[5]]
+    assert bands[2][1] == pytest.approx(min(inside) * 0.75, rel=0.05) and bands[2][2] == pytest.approx(max(inside) * 1.2, rel=0.05)
+    assert quality.fit_bands(docs.where("false")) == quality.BANDS
 
 
 @pytest.mark.parametrize("text", [
