@@ -21,7 +21,7 @@ from logtables.operators import catalog, chunks, encode, live, mine, parse, quer
 from logtables.plans.ingest import ingest_batch, records_of  # noqa: E402
 from logtables.plans.measure import measure_archive  # noqa: E402
 from logtables.plans.search import query_archive  # noqa: E402
-from logtables.sources import archive, feed, samples  # noqa: E402
+from logtables.sources import archive, feed, index, samples  # noqa: E402
 from logtables.sources import lines as sources  # noqa: E402
 from logtables.sources.scratch import scratch_dir  # noqa: E402
 from logtables.streaming import live as streaming_live  # noqa: E402
@@ -30,8 +30,8 @@ from logtables.streaming.collect import flush_waiting, stream_archive  # noqa: E
 try:
     import corpus_pipeline
     from logtables.llm import queries as llm
-except ModuleNotFoundError as missing:  # the subpackage may be left out; other imports may not
-    if missing.name not in ("corpus_pipeline", "logtables.llm"):
+except ModuleNotFoundError as missing:  # the subpackage or a library of its own may be left out; other imports may not
+    if missing.name not in ("corpus_pipeline", "logtables.llm", "xxhash", "zstandard", "tiktoken", "public_tokenizers", "numpy", "pyarrow"):
         raise
     corpus_pipeline = llm = None
 
@@ -333,6 +333,22 @@ def query_archived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_archive(spark, archived(spark, sf_dir), key_of(FAILURE_PATTERN), "HOST1").select("seq", "rendered")
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> str:
+    path = archived(spark, sf_dir)
+    index.index_archive(spark, path)
+    return path
+
+
+def index_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.indexed_keys(spark, indexed(spark, sf_dir)).select("template_key").distinct()
+
+
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of an archive by template and text, in files that can match."""
+    found = query_archive(spark, indexed(spark, sf_dir), key_of(FAILURE_PATTERN), "HOST1", indexed=True)
+    return found.select("seq", "rendered")
+
+
 def roundtrip_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, _ = archive.read_archive(spark, archived(spark, sf_dir))
     return query.roundtrip_check(messages_of(spark, sf_dir), records)
@@ -557,6 +573,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search": search,
         "render": render,
         "query_archive": query_archived,
+        "index_archive": index_archive,
+        "search_indexed": search_indexed,
         "roundtrip_check": roundtrip_check,
         "stream_archive": stream_archived,
         "stream_catalog": stream_catalog,

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtables.operators.query import filter_template, reconstruct, render, search
-from logtables.sources.archive import read_archive
+from logtables.sources.archive import read_archive, with_times
+from logtables.sources.index import read_records_for
 
 
 def query_archive(
@@ -18,13 +19,17 @@ def query_archive(
     text: str | None = None,
     since: date | None = None,
     until: date | None = None,
+    indexed: bool = False,
 ) -> DataFrame:
     """Reconstructed and rendered records; all conditions are optional and must all hold.
 
+    ``indexed`` opens only files that can hold the template and the text, by the index of
+    :mod:`logtables.sources.index`; files that it lacks are read as well.
+
     One stage without a shuffle. The template test is pushed to the scan; of days of arrival (UTC)
     outside ``since`` to ``until``, both included, no file is listed or read.
     """
-    records, _ = read_archive(spark, archive)
+    records = with_times(read_records_for(spark, archive, template_key, text)) if indexed else read_archive(spark, archive)[0]
     if since is not None:
         records = records.where(F.col("date") >= F.lit(since))
     if until is not None:

@@ -117,11 +117,14 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
         return spark.createDataFrame([], SCHEMAS[table])
 
 
+def with_times(records: DataFrame) -> DataFrame:
+    """Stored records with their event time."""
+    return records.withColumn("event_ts", F.timestamp_millis("event_ms")).drop("event_ms")
+
+
 def read_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``records`` and ``templates`` of all batches."""
-    records = read_table(spark, path, RECORDS)
-    records = records.withColumn("event_ts", F.timestamp_millis("event_ms")).drop("event_ms")
-    return records, read_table(spark, path, TEMPLATES)
+    return with_times(read_table(spark, path, RECORDS)), read_table(spark, path, TEMPLATES)
 
 
 def archived_bytes(spark: SparkSession, path: str) -> DataFrame:

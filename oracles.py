@@ -280,6 +280,9 @@ def oracle_sql() -> dict[str, str]:
         "render": f"""{messages} SELECT seq, {RENDERED} AS rendered FROM (SELECT *, message AS text FROM messages)""",
         "query_archive": f"""{BULK_RECORDS} SELECT seq, {RENDERED} AS rendered FROM records
             WHERE pattern = '{FAILURE_PATTERN}' AND contains({hay('hostname', 'app_name', 'procid', 'msgid', 'structured_data', 'text', 'priority', 'node_id')}, 'host1')""",
+        "index_archive": f"""{BULK_RECORDS} SELECT DISTINCT template_key FROM records""",
+        "search_indexed": f"""{BULK_RECORDS} SELECT seq, {RENDERED} AS rendered FROM records
+            WHERE pattern = '{FAILURE_PATTERN}' AND contains({hay('hostname', 'app_name', 'procid', 'msgid', 'structured_data', 'text', 'priority', 'node_id')}, 'host1')""",
         "roundtrip_check": f"""{messages} SELECT count(*) AS n_messages, count(*) AS n_records, 0 AS n_duplicate, 0 AS n_missing, 0 AS n_extra,
             0 AS n_different FROM messages""",
         "stream_archive": f"""WITH {LINES},{JUDGED},{MESSAGES}, numbered AS (

@@ -1,5 +1,4 @@
 import os
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,32 +146,54 @@ def test_streamed_search_and_feed(spark, texts, tmp_path):
 
 
 def test_streamed_tail_keeps_the_newest(spark, texts, tmp_path):
-    for k in range(3):
-        land(tmp_path / "landing", texts, k / 3, (k + 1) / 3, k)
+    for k in range(4):
+        land(tmp_path / "landing", texts, k / 4, (k + 1) / 4, k)
     lines = sources.stream_lines(spark, str(tmp_path / "landing"), 3)
     query = streaming_live.stream_tail(lines, str(tmp_path / "tail"), str(tmp_path / "c"), 50)
     query.awaitTermination()
     last = query.lastProgress["batchId"]
-    tail = spark.read.parquet(str(tmp_path / f"tail/batch_id={last}"))
-    assert tail.count() == 50
-    assert tail.select(F.min("received_at")).first()[0].timestamp() == 1_700_000_002
+    assert last >= 2 and len(list((tmp_path / "tail").glob("batch_id=*"))) == 2
+    kept = spark.read.parquet(str(tmp_path / f"tail/batch_id={last}"))
+    assert kept.count() == 50
+    assert kept.select(F.min("received_at")).first()[0].timestamp() == 1_700_000_003
+    tail = streaming_live.tail_of(spark, str(tmp_path / "tail"), last)
+    assert tail.count() == 50 and set(live.CELLS) <= set(tail.columns)
     node = max(texts)
     newest = [r.message for r in tail.orderBy(F.desc("position")).collect()]
     assert texts[node][-1].endswith(newest[0]) or texts[node][-1].startswith("junk")
 
 
-def test_liveness_as_a_stream(spark, texts, tmp_path):
-    land(tmp_path / "landing", texts, 0, 1, 0)
-    messages = parse.to_messages(sources.stream_lines(spark, str(tmp_path / "landing")))
-    name = f"liveness_{int(time.time())}"
-    query = (
-        live.node_liveness(messages).writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    )
+def test_lines_older_than_the_tail_are_left_out_ahead_of_parsing(spark, tmp_path):
+    rows = [(k, f"2024-01-01 00:00:{k % 60:02d}", "n", f"<34>1 - h a - - - line {k}") for k in [*range(40, 60), *range(0, 40)]]
+    lines = spark.createDataFrame(rows, "seq long, received_at string, node_id string, line string").withColumn("received_at", F.col("received_at").cast("timestamp"))
+    for part, bounds in enumerate(("seq >= 40", "seq < 20", "seq >= 20 and seq < 40")):
+        lines.where(bounds).coalesce(1).write.parquet(str(tmp_path / f"lines/{part}"))
+        stream = spark.readStream.schema(lines.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "lines"))
+        query = streaming_live.stream_tail(stream, str(tmp_path / "tail"), str(tmp_path / "c"), 15)
+        query.awaitTermination()
+    last = query.lastProgress["batchId"]
+    assert sorted(r.seq for r in streaming_live.tail_of(spark, str(tmp_path / "tail"), last).collect()) == list(range(45, 60))
+
+
+def test_liveness_as_a_stream(spark, tmp_path):
+    rows = [(k, f"node-{k % 3}", 1_700_000_000 + k, f"key {k % (700 * (1 + k % 3))}") for k in range(9000)]
+    records = spark.createDataFrame(rows, "seq long, node_id string, at long, template_key string").withColumn("received_at", F.timestamp_seconds("at"))
+    records.repartitionByRange(5, "seq").write.parquet(str(tmp_path / "records"))
+    stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "records"))
+    query = streaming_live.stream_liveness(stream, str(tmp_path / "kept"), str(tmp_path / "c"))
     query.awaitTermination()
-    rows = spark.table(name).collect()
-    assert {r.node_id for r in rows} == set(texts)
-    assert sum(r.n_lines for r in rows) == batch_result(spark, texts).count()
+    last = query.lastProgress["batchId"]
+    assert last == 4 and len(list((tmp_path / "kept").glob("batch_id=*"))) == 2
+    found = {r.node_id: r for r in streaming_live.liveness_of(spark, str(tmp_path / "kept"), last).collect()}
+    exact = {r.node_id: r for r in live.node_liveness(records).collect()}
+    assert set(found) == set(exact)
+    for node, r in found.items():
+        assert (r.last_seen, r.n_lines) == (exact[node].last_seen, exact[node].n_lines)
+        assert abs(r.n_templates - exact[node].n_templates) <= 0.06 * exact[node].n_templates
+    # Merging in any order and grouping gives the same state.
+    parts = [live.liveness_state(records.where(F.col("seq") % 4 == k)) for k in range(4)]
+    merged = live.liveness_view(live.merge_liveness(live.merge_liveness(parts[3], parts[1]), live.merge_liveness(parts[0], parts[2])))
+    assert {r.node_id: tuple(r) for r in merged.collect()} == {n: tuple(r) for n, r in found.items()}
 
 
 def test_archived_stream_reads_back_as_text(spark, texts, tmp_path):
