@@ -74,7 +74,7 @@ def liveness_state(records: DataFrame) -> DataFrame:
 
 
 def merge_liveness(*states: DataFrame) -> DataFrame:
-    """States of several batches or tables as one. The order of merging changes nothing."""
+    """States of several batches or tables as one. The order of merging may move an estimate within its error."""
     together = states[0]
     for state in states[1:]:
         together = together.unionByName(state)
