@@ -39,8 +39,7 @@ def new_templates(mined: DataFrame, known: DataFrame) -> DataFrame:
     keys before it moves a row of it; the rest of the work is as small as the mined patterns.
     """
     found = template_catalog(mined)
-    keys = mined.select(template_key(F.col("pattern")).alias("template_key")).distinct()
-    met = known.select("template_key").join(keys, "template_key", "left_semi")
+    met = known.select("template_key").join(found.select("template_key"), "template_key", "left_semi")
     return found.join(met, "template_key", "left_anti")
 
 
