@@ -21,6 +21,7 @@ from logtables.operators import catalog, chunks, encode, live, mine, parse, quer
 from logtables.plans.ingest import ingest_batch, records_of  # noqa: E402
 from logtables.plans.measure import measure_archive  # noqa: E402
 from logtables.plans.search import query_archive  # noqa: E402
+from logtables.plans.verify import verify_archive  # noqa: E402
 from logtables.sources import archive, feed, index, samples  # noqa: E402
 from logtables.sources import lines as sources  # noqa: E402
 from logtables.sources.scratch import scratch_dir  # noqa: E402
@@ -354,6 +355,19 @@ def roundtrip_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query.roundtrip_check(messages_of(spark, sf_dir), records)
 
 
+def damaged(records: DataFrame) -> DataFrame:
+    """Records of which some are lost, some are there twice and some have another priority."""
+    changed = records.withColumn("priority", F.when(F.col("seq") % 1009 == 3, F.col("priority") + 1).otherwise(F.col("priority")))
+    left = changed.where(F.col("seq") % 997 != 5)
+    return left.unionByName(left.where(F.col("seq") % 1013 == 11))
+
+
+def verify_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a comparison by spans finds in an archive with planted damage."""
+    records, _ = archive.read_archive(spark, archived(spark, sf_dir))
+    return verify_archive(messages_of(spark, sf_dir), damaged(records), 4096)
+
+
 # Streaming
 
 
@@ -458,6 +472,17 @@ def stream_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.join(exact, "node_id").select("node_id", micros("last_seen", "last_seen_us"), "n_lines", "exact", near)
 
 
+def stream_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The templates with most message bytes: candidates from a summary of a stream, then exact."""
+    path = scratch_dir(spark, "heavy")
+    records = bulk_records(spark, sf_dir).select("seq", "template_key", "pattern", "variables")
+    query = streaming_live.stream_heavy(in_parts(records, f"{path}/records"), f"{path}/kept", f"{path}/checkpoint", most=64)
+    query.awaitTermination()
+    state = streaming_live.heavy_of(spark, f"{path}/kept", query.lastProgress["batchId"])
+    stored = spark.read.schema(records.schema).parquet(f"{path}/records")
+    return report.heavy_templates(stored, state, 10).select("template_key", "n_lines", "message_bytes")
+
+
 def live_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.live_tail(messages_of(spark, sf_dir)).drop("received_at")
 
@@ -576,6 +601,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "index_archive": index_archive,
         "search_indexed": search_indexed,
         "roundtrip_check": roundtrip_check,
+        "verify_archive": verify_damaged,
         "stream_archive": stream_archived,
         "stream_catalog": stream_catalog,
         "stream_rejects": stream_rejects,
@@ -585,6 +611,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_framed": stream_framed,
         "stream_tail": stream_tail,
         "stream_liveness": stream_liveness,
+        "stream_heavy": stream_heavy,
         "live_tail": live_tail,
         "live_search": live_search,
         "stream_search": stream_search,

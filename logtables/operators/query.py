@@ -65,26 +65,32 @@ def render(records: DataFrame) -> DataFrame:
     return records.withColumn("rendered", F.when(F.col("is_rfc5424"), structured).otherwise(plain))
 
 
-def roundtrip_check(messages: DataFrame, records: DataFrame) -> DataFrame:
-    """One row of counts that compares messages with reconstructed records, joined on node and seq (and
-    ``batch_id``, if both sides have it). ``n_duplicate`` counts records beyond one per message.
+#: Header fields that a message and its record are compared by, beside time and text.
+COMPARED = ["priority", "hostname", "app_name", "procid", "msgid", "structured_data", "is_rfc5424"]
 
-    A message equals its record if header fields and event time (in milliseconds) agree and the
-    texts agree up to whitespace.
-    """
+
+def compared_rows(messages: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Messages and reconstructed records as keys and a hash of their content (``content``), and the names of
+    the keys: node, seq and, if both sides have it, ``batch_id``."""
     keys = ["node", "seq", *(["batch_id"] if "batch_id" in messages.columns and "batch_id" in records.columns else [])]
-    compared = ["priority", "hostname", "app_name", "procid", "msgid", "structured_data", "is_rfc5424"]
 
-    def digest(rows: DataFrame, text: Column, side: str) -> DataFrame:
+    def hashed(rows: DataFrame, text: Column) -> DataFrame:
         # A hash skips nulls, so it also gets the flags that tell which fields are null.
-        missing = [F.col(name).isNull().alias(f"no_{name}") for name in compared]
-        content = F.struct(*compared, *missing, F.unix_millis("event_ts").alias("ms"), text.alias("text"))
-        hashed = rows.select(F.coalesce("node_id", F.lit(MISSING)).alias("node"), *keys[1:], F.xxhash64(content).alias(side))
-        return hashed.groupBy(*keys).agg(F.max(side).alias(side), F.min(side).alias(f"other_{side}"), F.count("*").alias(f"n_{side}"))
-
-    sent = digest(messages, F.array_join(tokens(F.col("message")), " "), "sent")
-    kept = digest(reconstruct(records), F.col("message"), "kept")
-    both = sent.join(kept, keys, "full")
+        missing = [F.col(name).isNull().alias(f"no_{name}") for name in COMPARED]
+        content = F.struct(*COMPARED, *missing, F.unix_millis("event_ts").alias("ms"), text.alias("text"))
+        return rows.select(F.coalesce("node_id", F.lit(MISSING)).alias("node"), *keys[1:], F.xxhash64(content).alias("content"))
+
+    sent = hashed(messages, F.array_join(tokens(F.col("message")), " "))
+    return sent, hashed(reconstruct(records), F.col("message")), keys
+
+
+def compared_counts(sent: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of counts that compares the two sides of :func:`compared_rows`, joined by key."""
+
+    def by_key(rows: DataFrame, side: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.max("content").alias(side), F.min("content").alias(f"other_{side}"), F.count("*").alias(f"n_{side}"))
+
+    both = by_key(sent, "sent").join(by_key(kept, "kept"), keys, "full")
     differs = (F.col("sent") != F.col("kept")) | (F.col("other_sent") != F.col("other_kept"))
     extra = F.greatest(F.lit(0), F.col("n_kept") - F.coalesce("n_sent", F.lit(1)))
     return both.agg(
@@ -95,3 +101,13 @@ def roundtrip_check(messages: DataFrame, records: DataFrame) -> DataFrame:
         F.count_if(F.col("sent").isNull()).alias("n_extra"),
         F.count_if(differs).alias("n_different"),
     )
+
+
+def roundtrip_check(messages: DataFrame, records: DataFrame) -> DataFrame:
+    """One row of counts that compares messages with reconstructed records, joined on node and seq (and
+    ``batch_id``, if both sides have it). ``n_duplicate`` counts records beyond one per message.
+
+    A message equals its record if header fields and event time (in milliseconds) agree and the
+    texts agree up to whitespace. :func:`logtables.plans.verify.verify_archive` gives the same for large archives.
+    """
+    return compared_counts(*compared_rows(messages, records))

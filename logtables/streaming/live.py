@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logtables.operators.live import TAIL, live_rows, live_search, liveness_state, liveness_view, merge_liveness, newest
 from logtables.operators.parse import to_messages
+from logtables.operators.report import HEAVY, heavy_state
 from logtables.sources.archive import batch_path, write_batch
 from logtables.sources.feed import to_json_feed
 from logtables.sources.lines import with_position
@@ -101,6 +102,26 @@ def liveness_of(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     return liveness_view(spark.read.parquet(batch_path(path, batch_id)))
 
 
+def stream_heavy(records: DataFrame, path: str, checkpoint: str, most: int = HEAVY, trigger: dict | None = None) -> StreamingQuery:
+    """Summarise which templates have most message bytes, from a stream of mined records.
+
+    The state has at most ``most`` templates, merged batch by batch, however many the stream brings. ``path``
+    holds the states of the last two batches; :func:`logtables.operators.report.heavy_templates` gives the exact
+    report from the newest (:func:`heavy_of`).
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        before = _state(batch.sparkSession, path, batch_id - 1, "template_key string, weight long")
+        _replace_state(batch.sparkSession, heavy_state(batch, before, most), path, batch_id)
+
+    return _each_batch(records, merge, checkpoint, trigger)
+
+
+def heavy_of(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """The summary that :func:`stream_heavy` kept as of a batch."""
+    return spark.read.parquet(batch_path(path, batch_id))
+
+
 def _each_batch(rows: DataFrame, handle, checkpoint: str, trigger: dict | None) -> StreamingQuery:
     writer = rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or ALL_LANDED)).start()

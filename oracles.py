@@ -285,6 +285,10 @@ def oracle_sql() -> dict[str, str]:
             WHERE pattern = '{FAILURE_PATTERN}' AND contains({hay('hostname', 'app_name', 'procid', 'msgid', 'structured_data', 'text', 'priority', 'node_id')}, 'host1')""",
         "roundtrip_check": f"""{messages} SELECT count(*) AS n_messages, count(*) AS n_records, 0 AS n_duplicate, 0 AS n_missing, 0 AS n_extra,
             0 AS n_different FROM messages""",
+        "verify_archive": f"""{messages}, kept AS (SELECT seq, node_id FROM messages WHERE seq % 997 <> 5)
+            SELECT (SELECT count(*) FROM messages) AS n_messages, count(*) + count_if(seq % 1013 = 11) AS n_records,
+              count_if(seq % 1013 = 11) AS n_duplicate, (SELECT count_if(seq % 997 = 5) FROM messages) AS n_missing, 0 AS n_extra,
+              count_if(seq % 1009 = 3) AS n_different FROM kept""",
         "stream_archive": f"""WITH {LINES},{JUDGED},{MESSAGES}, numbered AS (
               SELECT node_id, seq, row_number() OVER (PARTITION BY node_id ORDER BY seq) - 1 AS line_no FROM lines),
             {LIVE},{MINED},{RECORDS}
@@ -323,4 +327,6 @@ def oracle_sql() -> dict[str, str]:
             FROM records GROUP BY template_key, pattern""",
         "template_report_top": f"""{BULK_RECORDS} SELECT template_key, count(*) AS n_lines, CAST(sum(octet_length(encode(text))) AS BIGINT) AS message_bytes
             FROM records GROUP BY ALL ORDER BY message_bytes DESC, template_key LIMIT 10""",
+        "stream_heavy": f"""{BULK_RECORDS} SELECT template_key, count(*) AS n_lines, CAST(sum(octet_length(encode(text))) AS BIGINT) AS message_bytes
+            FROM records GROUP BY ALL ORDER BY message_bytes DESC, template_key LIMIT 10""",
     }

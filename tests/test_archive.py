@@ -8,6 +8,7 @@ from logtables.operators import catalog, chunks, encode, live, parse, query, rep
 from logtables.plans.ingest import ingest_batch, records_of
 from logtables.plans.measure import measure_archive
 from logtables.plans.search import query_archive
+from logtables.plans.verify import compare_spans, verify_archive
 from logtables.sources import archive, feed, samples
 from logtables.sources import lines as sources
 from logtables.sources.scratch import scratch_dir
@@ -170,6 +171,32 @@ def test_roundtrip_counts_what_differs(messages, records):
     assert query.roundtrip_check(messages, swapped).first().n_different == 1
 
 
+@pytest.mark.parametrize("span", [1, 16, 1 << 16])
+def test_spans_find_what_the_join_finds(spark, messages, records, span):
+    odd = F.pmod(F.xxhash64("seq"), F.lit(7))
+    changed = records.withColumn("msgid", F.when(odd == 1, F.lit("other")).otherwise(F.col("msgid")))
+    fewer = records.where(odd != 2)
+    cases = [
+        records,
+        changed,
+        fewer,
+        records.unionByName(records.where(odd == 3)),
+        records.where(odd != 4).unionByName(records.where(odd == 5)),  # as many lost as there are twice
+        changed.where(odd != 0).unionByName(records.where(odd == 1)),
+        records.withColumn("seq", F.when(odd == 6, F.lit(None)).otherwise(F.col("seq"))),
+        records.withColumn("node_id", F.when(odd == 6, F.lit(None)).otherwise(F.col("node_id"))),
+        records.limit(0),
+    ]
+    for case in cases:
+        assert verify_archive(messages, case, span).first().asDict() == query.roundtrip_check(messages, case).first().asDict()
+    assert tuple(verify_archive(messages.limit(0), records.limit(0), span).first()) == (0,) * 6
+
+
+def test_equal_archives_need_no_join_of_rows(spark, messages, records):
+    plan = verify_archive(messages, records)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and compare_spans(messages, records).where("not same").isEmpty()
+
+
 def test_files_are_numbered_line_by_line_whatever_the_split(spark, tmp_path):
     texts = {node: [f"<1>Oct 1 00:00:00 h {node} {i} " + "x" * (i % 50) for i in range(2000)] for node in ("a", "b")}
     for node, rows in texts.items():
@@ -315,3 +342,26 @@ def test_times_are_shown_in_utc_in_any_zone(spark):
             assert [row[2] for row in rows] == [text[:10] for text in shown]
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_heavy_templates_of_summaries_are_exact(spark):
+    # Weights fall off slowly at first and have a long tail, dealt unevenly over the batches.
+    rows = [(k * 1000 + i, f"key {k:04}", f"line {k} <*>", ["v" * (1 + i % 5)]) for k in range(400) for i in range(1 + 3000 // (k + 1) ** 2)]
+    rows += [(10**6 + k, f"key {k:04}", "same <*>", ["x"]) for k in range(400, 420)]
+    rows.append((10**7, None, None, None))
+    table = spark.createDataFrame(rows, "seq long, template_key string, pattern string, variables array<string>").repartition(4)
+    known = table.where("template_key is not null")
+    parts = [table.where(F.pmod(F.xxhash64("seq"), F.lit(5)) == k) for k in range(5)]
+    exact = [tuple(r) for r in report.template_report(known, 500).collect()]
+    for most in (1, 10, 40, 4096):
+        state = None
+        for part in parts:
+            state = report.heavy_state(part, state, most)
+            assert state.count() <= most + 1
+        apart = report.merge_heavy(*[report.heavy_state(part, most=most) for part in parts], most=most)
+        for k, summary in ((1, state), (3, apart), (8, state), (500, apart)):
+            assert [tuple(r) for r in report.heavy_templates(known, summary, k).collect()] == exact[:k]
+    # Few candidates are left to read if weights are skewed.
+    weights = {r["template_key"]: r["weight"] for r in apart.collect()}
+    assert weights[None] == 0 and len(weights) == known.select("template_key").distinct().count() + 1
+    assert report.heavy_templates(known.limit(0), report.heavy_state(known.limit(0)), 3).isEmpty()
