@@ -144,11 +144,21 @@ def _logs(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * (len(counts) + 1)))
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
+def train(
+    labelled: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    doc_id: str = "doc_id",
+    docs_per_language: int = DOCS_PER_LANGUAGE,
+    least_word_share: float = LEAST_WORD_SHARE,
+    least_gram_share: float = LEAST_GRAM_SHARE,
+) -> Model:
     """A model from rows with a text and a language.
 
     The sample is, of each language, the share of documents that makes ``docs_per_language``; which ones
-    is decided by a hash of the id, so reruns agree. Counts of words and n-grams are made on Spark.
+    is decided by a hash of the id, so reruns agree. Counts of words and n-grams are made on Spark. Words and
+    n-grams below their share in every language are not known to the model; a share of 0 leaves out none.
+    The model has a column per language, so labels should be clean.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("item"), F.xxhash64(F.col(doc_id)).alias("h"))
@@ -160,8 +170,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     drawn = rows.where(F.pmod("h", F.lit(1 << 30)) < cut[F.col("lang")] * float(1 << 30))
     words = _count(drawn.select("lang", "item", F.lit(1).cast("long").alias("n")), "words")
     words = stage(words, "words")
-    known, word_counts = _frequent(words, LEAST_WORD_SHARE, languages)
-    grams, gram_counts = _frequent(_count(words.select("lang", "item", "n"), "grams"), LEAST_GRAM_SHARE, languages)
+    known, word_counts = _frequent(words, least_word_share, languages)
+    grams, gram_counts = _frequent(_count(words.select("lang", "item", "n"), "grams"), least_gram_share, languages)
     n = np.array([totals[k] for k in languages], dtype=np.float64)
     # n-grams compete with those of their own length.
     length = np.array([len(g) for g in grams])

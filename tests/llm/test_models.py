@@ -49,6 +49,68 @@ def test_backoff_takes_the_longest_known_gram():
     assert (model.score_unseen("zz") == 0).all()
 
 
+def plain_language(rows, word_share, gram_share):
+    """The model of all rows from plain counters: predictions of texts."""
+    by, weights = {}, {}
+    for _, text, lang in rows:
+        by.setdefault(lang, Counter()).update(w for w in language.words_of(text) if w)
+        weights[lang] = weights.get(lang, 0) + 1
+    langs = sorted(by)
+    grams = {lang: Counter() for lang in langs}
+    for lang in langs:
+        for word, n in by[lang].items():
+            for g in language.grams_of(word):
+                grams[lang][g] += n
+
+    def known(counts, share):
+        return {x for c in counts.values() for x, n in c.items() if n >= share * sum(c.values())}
+
+    def logs(counts, items):
+        total = {lang: sum(counts[lang][x] for x in items) for lang in langs}
+        return {x: [math.log((counts[lang][x] + 0.5) / (total[lang] + 0.5 * (len(items) + 1))) for lang in langs] for x in items}
+
+    words = logs(by, known(by, word_share))
+    of_length = {}
+    for g in known(grams, gram_share):
+        of_length.setdefault(len(g), set()).add(g)
+    parts = {g: row for items in of_length.values() for g, row in logs(grams, items).items()}
+
+    def unseen(word):
+        padded, total, steps = f" {word} ", [0.0] * len(langs), 0
+        for at in range(len(padded) - 1):
+            longest = next((n for n in range(5, 0, -1) if at + n <= len(padded) and padded[at : at + n] in parts), 0)
+            steps += min(5, len(padded) - at) - longest
+            if longest:
+                total = [a + b for a, b in zip(total, parts[padded[at : at + longest]])]
+        return [(x + steps * math.log(0.4)) / (len(padded) - 1) for x in total]
+
+    def predict(text):
+        found = [w for w in language.words_of(text) if w]
+        total = [math.log(weights[lang] / sum(weights.values())) for lang in langs]
+        for w in found:
+            total = [a + b for a, b in zip(total, words.get(w) or unseen(w))]
+        best = max(range(len(langs)), key=total.__getitem__)
+        return langs[best], 1 / sum(math.exp(x - total[best]) for x in total)
+
+    return predict, words, parts
+
+
+@pytest.mark.parametrize("word_share, gram_share", [(0, 0), (0.004, 0.001)])
+def test_language_model_is_that_of_plain_counts(spark, word_share, gram_share):
+    docs = labelled(spark, 90)
+    rows = [tuple(r) for r in docs.collect()]
+    model = language.train(docs, docs_per_language=10**6, least_word_share=word_share, least_gram_share=gram_share)
+    predict, words, parts = plain_language(rows, word_share, gram_share)
+    assert set(model.words) == set(words) and set(model.grams) == set(parts)
+    for items, table, plain in ((model.words, model.word_rows, words), (model.grams, model.gram_rows, parts)):
+        for item, row in items.items():
+            assert table[row] == pytest.approx(plain[item])
+    scorer, other = language.Scorer(model), [r[1] for r in labelled(spark, 120).collect()[90:]]
+    for text in [r[1] for r in rows] + other + ["eauqui", "schung the", "ing" * 9]:
+        lang, score = scorer.predict(text)
+        assert (lang, pytest.approx(score)) == predict(text)
+
+
 def corpus(spark):
     rng, rows = random.Random(8), []
     words = [f"w{k}" for k in range(30)]
@@ -112,12 +174,11 @@ def test_scores(spark):
     assert sum(r.score for r in found if r.held_out) > sum(r.base_score for r in found if r.held_out)
 
 
-def test_rare_words_meet_by_join(spark, monkeypatch):
+def test_rare_words_meet_by_join(spark):
     docs, _ = corpus(spark)
     tree, words = suffix_tree.train(docs.select("text"))
     before = sorted(map(tuple, suffix_tree.score(docs, tree, words).drop("doc_id", "text").collect()))
-    monkeypatch.setattr(suffix_tree, "LEAST_WORD", 0.01)
-    tree, words = suffix_tree.train(docs.select("text"))
+    tree, words = suffix_tree.train(docs.select("text"), least_word=0.01)
     assert len(tree.words) < words.count()
     after = sorted(map(tuple, suffix_tree.score(docs, tree, words).drop("doc_id", "text").collect()))
     assert [x[:3] for x in after] == [x[:3] for x in before]
@@ -131,3 +192,66 @@ def test_nothing_to_learn_from(spark):
     found = {r.doc_id: r for r in suffix_tree.score(docs, tree, words).collect()}
     assert found[1].n_known == 0 and found[1].train_tokens == 0 and found[1].n_tokens == 3 and found[2].n_tokens == 1
     assert found[1].base_score == pytest.approx(3 * math.log10(0.5 / 0.5)) and suffix_tree.score(docs.limit(0), tree, words).count() == 0
+
+
+def plain_tree(texts, depth, least_context, least_pair, divergence):
+    """Retained contexts with their listed shares, and the probability of a word, from plain dictionaries."""
+    tokens = [[*(t or "").lower().split(), ""] for t in texts]
+    counts = Counter(w for ws in tokens for w in ws)
+    n_tokens, n_words = sum(counts.values()), len(counts)
+    shares, kept = {}, {}
+
+    def p(context, word):
+        if not context:
+            return (counts[word] + 0.5) / (n_tokens + 0.5 * (n_words + 1))
+        return shares.get(context, {}).get(word, 0.0) + kept.get(context, 1.0) * p(context[1:], word)
+
+    def least(share):
+        return max(2, share * n_tokens) if share else 1
+
+    totals, seen = {(w,): n for w, n in counts.items()}, None
+    for length in range(1, depth + 1):
+        allowed = {c for c, n in totals.items() if n >= least(least_context)}
+        follows = Counter((tuple(ws[i - length : i]), ws[i]) for ws in tokens for i in range(length, len(ws)) if tuple(ws[i - length : i]) in allowed)
+        follows = {k: n for k, n in follows.items() if n >= least(least_pair)}
+        found = {}
+        for (c, w), n in follows.items():
+            found.setdefault(c, {})[w] = n
+        for c, after in found.items():
+            own, parent = {w: n / totals[c] for w, n in after.items()}, {w: p(c[1:], w) for w in after}
+            rest, rest_parent = (max(1e-12, 1 - sum(x.values())) for x in (own, parent))
+            gain = sum(own[w] * math.log2(own[w] / parent[w]) for w in after) + rest * math.log2(rest / rest_parent)
+            if gain >= divergence:
+                shares[c] = {w: (n - 0.75) / totals[c] for w, n in after.items()}
+                kept[c] = 1 - sum(shares[c].values())
+        totals = {(*c, w): n for (c, w), n in follows.items() if seen is None or (c[1:], w) in seen}
+        seen = follows
+    return shares, p
+
+
+@pytest.mark.parametrize("least_context, least_pair, divergence", [(0, 0, 0.0), (0, 0, 0.05), (0.004, 0.002, 0.05), (0.01, 0.0008, 0.4)])
+def test_tree_is_that_of_plain_counts(spark, least_context, least_pair, divergence):
+    docs, rows = corpus(spark)
+    texts = [t for _, t in rows]
+    tree, words = suffix_tree.train(docs.select("text"), 3, 0, least_context, least_pair, divergence)
+    shares, p = plain_tree(texts, 3, least_context, least_pair, divergence)
+    found = {}
+    names = [(w,) for w in tree.words]  # of the entries of each level
+    for level in tree.levels:
+        contexts, names = names, [names_of(names, key, tree) for key in level.keys.tolist()]
+        for key, share in zip(level.keys.tolist(), level.share.tolist()):
+            if share:
+                found.setdefault(contexts[key // len(tree.words)], {})[tree.words[key % len(tree.words)]] = share
+    assert found.keys() == shares.keys()
+    for context, after in shares.items():
+        assert found[context] == pytest.approx(after)
+    got = {}
+    for r in suffix_tree.score(docs, tree, words).collect():
+        got.setdefault(r.text, set()).add(round(r.score, 6))
+    for text in set(texts):
+        ws = [*(text or "").lower().split(), ""]
+        assert got[text] == {round(sum(math.log10(p(tuple(ws[max(0, k - 3) : k]), w)) for k, w in enumerate(ws)), 6)}
+
+
+def names_of(contexts, key, tree):
+    return (*contexts[key // len(tree.words)], tree.words[key % len(tree.words)])
