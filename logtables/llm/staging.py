@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,18 @@ from logtables.sources.scratch import scratch_dir
 BATCH_ROWS = 500
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows, for jobs that run within."""
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(option)
+    spark.conf.set(option, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(option, before)
+
+
 def session_of(df: DataFrame) -> SparkSession:
     """The session of ``df``, with Arrow batches small enough for long texts."""
     spark = df.sparkSession

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtables.llm.staging import session_of, stage
+from logtables.llm.staging import BATCH_ROWS, arrow_rows, stage
 
 VERSION = b"WARC/1.0\r\n"
 END = b"\r\n\r\n"
@@ -22,12 +22,15 @@ MIN_REVISIT = 100
 SEGMENT = 16384
 RECORDS_PER_FILE = 1024
 CHUNK = 4096
+#: Files that a Python worker gets at once.
+FILES_PER_BATCH = 4
 DATE = "2024-01-01T00:00:00Z"
-NO_ID = "none"
+_SIZE = re.compile(rb"[0-9A-Fa-f]+")
 
 
 def _record_id(page: object, place: int) -> str:
-    return f"<urn:page:{NO_ID if page is None else page}:{place}>"
+    """A row without id has a name of its own kind; of others, all but letters, digits and ``_.-~`` is escaped."""
+    return f"<urn:unnamed:{place}>" if page is None else f"<urn:page:{quote(str(page), safe='')}:{place}>"
 
 
 def _head(fields: list[tuple[str, object]]) -> bytes:
@@ -46,7 +49,10 @@ def unchunked(body: bytes) -> bytes:
         stop = body.find(b"\r\n", at)
         if stop < 0:
             raise ValueError("chunk size is missing")
-        size = int(body[at:stop].split(b";")[0], 16)
+        digits = body[at:stop].split(b";")[0].strip(b" \t")
+        if not _SIZE.fullmatch(digits):
+            raise ValueError("chunk size is not a number")
+        size = int(digits, 16)
         at = stop + 2
         if size == 0:
             return b"".join(parts)
@@ -73,7 +79,7 @@ def records_of_page(page: object, place: int, url: str | None, payload: bytes, d
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if refers_to is not None:
         fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, ("WARC-Payload-Digest", f"sha256:{digest}")]
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{quote(refers_to, safe='')}>")]
         fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(head))]
         return [_head(fields) + head]
     block = head + chunked(payload)
@@ -102,7 +108,6 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     continuation records, which are dealt out anew and so may be in other files. The text writer puts
     the two line ends after each record that the format asks for.
     """
-    session_of(pages)
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(
         F.col(page_id).alias("page"), F.col(url).cast("string").alias("url"), payload.alias("payload"),
@@ -121,7 +126,8 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
             yield pa.record_batch([pa.array(found, pa.binary())], names=["record"])
 
     written = joined.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value"))
-    written.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    with arrow_rows(pages.sparkSession, BATCH_ROWS):
+        written.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 RECORD = "record_id string, origin_id string, type string, segment int, total long, digest string, refers_to string, block binary"
@@ -169,7 +175,6 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 columns = list(zip(*rows)) or [()] * len(schema)
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
     return files.select("content").mapInArrow(parse, RECORD)
 
@@ -220,11 +225,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     A revisit has the length and digest of the response it refers to; its payload stays there.
     """
-    pages = stage(reassemble(read_records(spark, path)), "pages")
-    page = F.regexp_extract("record_id", r"^<urn:page:(.*):\d+>$", 1)
+    with arrow_rows(spark, FILES_PER_BATCH):
+        pages = stage(reassemble(read_records(spark, path)), "pages")
+    named = F.col("record_id").startswith("<urn:page:")
+    page = F.url_decode(F.regexp_extract("record_id", r"^<urn:page:(.*):\d+>$", 1))
     full = pages.select(
-        F.when(page != NO_ID, page).alias("page_id"), "record_type", "payload", F.octet_length("payload").cast("long").alias("own_bytes"),
-        F.col("digest").alias("payload_digest"), F.regexp_extract("refers_to", r"^<urn:page:(.*)>$", 1).alias("refers_to"), "fault",
+        F.when(named, page).alias("page_id"), "record_type", "payload", F.octet_length("payload").cast("long").alias("own_bytes"),
+        F.col("digest").alias("payload_digest"), F.url_decode(F.regexp_extract("refers_to", r"^<urn:page:(.*)>$", 1)).alias("refers_to"), "fault",
     )
     full = full.withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("refers_to")))
     wanted = full.where("refers_to is not null").select("refers_to", "payload_digest").distinct()
@@ -240,7 +247,7 @@ def roundtrip(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     """The pages as they are read back after they have been written below ``path``.
 
     A null html is an empty payload, a null url an empty one, a row without id a response without
-    ``page_id``. Repeated rows give a record each: those with the smallest id are all responses. Other
+    ``page_id``. Ids may be any text, line ends included, and come back as they were. Repeated rows give a record each: those with the smallest id are all responses. Other
     columns are not archived. An empty table gives an empty one.
     """
     write_warc(pages, path, page_id, url, html)

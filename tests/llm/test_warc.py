@@ -33,6 +33,17 @@ def test_roundtrip(spark):
     assert warc.roundtrip(pages.limit(0), scratch_dir(spark, "warc")).count() == 0
 
 
+def test_ids_of_any_text(spark):
+    ids = ["none", "", "a\r\nWARC-Type: x", "a:b:3", "100%", "%41", "+ +", "é😀", "<x>", " lead ", None, None, "z"]
+    pages = spark.createDataFrame([(i, "u", "same text " * 20) for i in ids] + [("own", "u", "x")], "page_id string, url string, html string").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = warc.roundtrip(pages, scratch_dir(spark, "warc")).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    wanted = [(i, "revisit", "") if i else (i, "response", None) for i in ids]  # the empty id is the least
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in found if r.page_id != "own"), key=str) == sorted(wanted, key=str)
+    assert {r.fault for r in found} == {None} and {r.payload_bytes for r in found} == {1, 200}
+
+
 def record(number, block, total=None, kind="continuation", origin="o", digest=None):
     return (f"{origin}:{number}", origin, kind, number, total, digest, None, block)
 
@@ -59,7 +70,9 @@ def test_faults(spark):
 def test_framing():
     for size in (0, 1, 4095, 4096, 4097):
         assert warc.unchunked(warc.chunked(b"x" * size)) == b"x" * size
-    with pytest.raises(ValueError):
-        warc.unchunked(b"5\r\nabc")
+    assert warc.unchunked(b"3 ;name=x\r\nabc\r\n0\r\n\r\n") == b"abc"
+    for body in (b"5\r\nabc", b"+3\r\nabc\r\n0\r\n\r\n", b"-3\r\nabc\r\n0\r\n\r\n", b"0x3\r\nabc\r\n0\r\n\r\n", b"0_3\r\nabc\r\n0\r\n\r\n", b"\r\n"):
+        with pytest.raises(ValueError):
+            warc.unchunked(body)
     with pytest.raises(ValueError):
         list(warc.parse_records(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"))
