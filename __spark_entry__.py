@@ -18,6 +18,7 @@ from pyspark.sql import functions as F  # noqa: E402
 import oracles  # noqa: E402
 from logtables.functions.templates import key_of  # noqa: E402
 from logtables.operators import catalog, chunks, encode, live, mine, parse, query, report  # noqa: E402
+from logtables.plans import compact  # noqa: E402
 from logtables.plans.ingest import ingest_batch, records_of  # noqa: E402
 from logtables.plans.measure import measure_archive  # noqa: E402
 from logtables.plans.search import query_archive  # noqa: E402
@@ -446,6 +447,23 @@ def ingest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.join(published, "pattern", "left").select("batch_id", *ARCHIVED, joined("variables"), "n_published")
 
 
+def compact_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads of which two are compacted, one is repeated after that, and what they replace is removed."""
+    path, landing = scratch_dir(spark, "compacted"), landed(spark, sf_dir)
+
+    def load(name: str) -> None:
+        ingest_batch(spark, landing, f"{path}/archive", f"{path}/work", batch_id=name, file_order=sources.BY_NAME)
+
+    load("01")
+    load("1")
+    compact.compact_archive(spark, f"{path}/archive")
+    load("1")
+    compact.vacuum_archive(spark, f"{path}/archive")
+    records, templates = archive.read_archive(spark, f"{path}/archive")
+    published = templates.groupBy("pattern").agg(F.count("*").alias("n_published"))
+    return records.join(published, "pattern", "left").select("batch_id", *ARCHIVED, joined("variables"), "n_published")
+
+
 def in_parts(rows: DataFrame, path: str, parts: int = 6) -> DataFrame:
     """``rows`` landed as some files and read as a stream, a few files at a time."""
     rows.repartitionByRange(parts, "seq").write.parquet(path)
@@ -607,6 +625,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_rejects": stream_rejects,
         "ingest_batch": ingested,
         "ingest_batches": ingest_batches,
+        "compact_archive": compact_archive,
         "ingest_framed": ingest_framed,
         "stream_framed": stream_framed,
         "stream_tail": stream_tail,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from logtables.functions.syslog import utc_date
 from logtables.operators.catalog import new_templates, template_catalog
+from logtables.sources.manifest import BATCH, COMPACTED, live_folders, names_in, read_copies, read_manifest
 
 # Compression of the archive, columns of a record.
 CODEC = {
@@ -108,7 +109,21 @@ def write_archive(
 
 
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A table of the archive, empty if nothing has been written to it; ``batch_id`` is text."""
+    """A table of the archive, empty if nothing has been written to it; ``batch_id`` is text.
+
+    Of batches that were compacted (:mod:`logtables.plans.compact`) the copies are read.
+    """
+    passed, folders = (set(), {}) if table == REJECTS else live_folders(spark, path, RECORDS)
+    if folders:
+        base = f"{path}/{table}"
+        own = [n for n in names_in(spark, base) if n.startswith(BATCH) and n.removeprefix(BATCH) not in passed]
+        rows = read_copies(spark, base, SCHEMAS[table], folders)
+        if own:
+            rows.append(spark.read.schema(SCHEMAS[table]).option("basePath", base).parquet(*[f"{base}/{n}" for n in own]))
+        together = rows[0]
+        for more in rows[1:]:
+            together = together.unionByName(more)
+        return together
     try:
         return spark.read.schema(SCHEMAS[table]).parquet(f"{path}/{table}")
     except AnalysisException as error:
@@ -128,11 +143,13 @@ def read_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def archived_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """Total size of the archive's data files, from their listing; no file is opened."""
+    """Total size of the archive's data files, from their listing; no file is opened. Copies and what they replace
+    both count, until it is removed."""
+    copies = [f"{path}/{table}/{COMPACTED}/{name}" for table in (RECORDS, TEMPLATES) for name in read_manifest(spark, path)[1]]
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.parquet")
-        .load([f"{path}/{table}" for table in (RECORDS, TEMPLATES)])
+        .load([*(f"{path}/{table}" for table in (RECORDS, TEMPLATES)), *copies])
     )
     return files.agg(F.sum("length").alias("archived_bytes"), F.count("*").alias("n_files"))

@@ -10,7 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtables.sources.archive import CODEC, RECORDS, SCHEMAS, new_batch
+from logtables.sources.archive import CODEC, RECORDS, SCHEMAS, new_batch, read_table
+from logtables.sources.manifest import live_folders, read_copies
 
 FILES, KEYS = "index_files", "index_keys"
 INDEX = {FILES: "file string, n_rows long, grams array<int>", KEYS: "file string, template_key string"}
@@ -122,10 +123,17 @@ def files_for(spark: SparkSession, path: str, template_key: str | None = None, t
 def read_records_for(spark: SparkSession, path: str, template_key: str | None = None, text: str | None = None, most: int = MOST_FILES) -> DataFrame:
     """The records table, of files that can match only. All its rows that match are there, and others.
 
+    Copies of compacted batches are read whole: they are sorted by template, and have no index.
     Names of up to ``most`` files pass through the driver; if more can match, the whole table is read, as it
     would not pay to leave files out.
     """
-    names = [r["file"] for r in files_for(spark, path, template_key, text).limit(most + 1).collect()]
+    passed, folders = live_folders(spark, path, RECORDS)
+    batch = F.regexp_extract("file", "^batch_id=([^/]+)/", 1)
+    wanted = files_for(spark, path, template_key, text)
+    names = [r["file"] for r in (wanted.where(~batch.isin(sorted(passed))) if passed else wanted).limit(most + 1).collect()]
     if len(names) > most:
-        return spark.read.schema(SCHEMAS[RECORDS]).parquet(f"{path}/{RECORDS}")
-    return _read(spark, path, names) if names else spark.createDataFrame([], SCHEMAS[RECORDS])
+        return read_table(spark, path, RECORDS)
+    rows = _read(spark, path, names) if names else spark.createDataFrame([], SCHEMAS[RECORDS])
+    for copies in read_copies(spark, f"{path}/{RECORDS}", SCHEMAS[RECORDS], folders):
+        rows = rows.unionByName(copies)
+    return rows

@@ -300,6 +300,7 @@ def oracle_sql() -> dict[str, str]:
             FROM outcomes WHERE outcome <> 'ok'""",
         "ingest_batch": f"""{LIVE_NUMBERED} SELECT {ARCHIVED}, CASE WHEN ts_source = 'header' THEN epoch_us(event_ts) END AS event_us, {VARIABLES} FROM numbered""",
         "ingest_batches": f"""{LIVE_NUMBERED} SELECT batch_id, {ARCHIVED}, {VARIABLES}, 1 AS n_published FROM numbered, (VALUES ('01'), ('1')) AS t(batch_id)""",
+        "compact_archive": f"""{LIVE_NUMBERED} SELECT batch_id, {ARCHIVED}, {VARIABLES}, 1 AS n_published FROM numbered, (VALUES ('01'), ('1')) AS t(batch_id)""",
         "ingest_framed": f"""{FRAMED_NUMBERED} SELECT {ARCHIVED}, {VARIABLES} FROM numbered""",
         "stream_framed": f"""{FRAMED_NUMBERED} SELECT {ARCHIVED}, {VARIABLES} FROM numbered""",
         "stream_tail": f"""{messages},{LIVE_ROWS} SELECT seq, ts, node, severity_name, host, app, message FROM live
