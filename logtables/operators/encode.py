@@ -5,7 +5,7 @@ Everything here is per chunk, so one shuffle by ``chunk_id`` serves all windows
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,41 +20,33 @@ def stored_order(records: DataFrame) -> DataFrame:
     return records.withColumn("row_pos", F.row_number().over(window) - 1)
 
 
-def _field_rows(records: DataFrame) -> DataFrame:
-    """One row per record and pooled field with the number of its string in the chunk's pool.
+def _chunk_pools(records: DataFrame) -> DataFrame:
+    """One row per chunk: its records in stored order and ``pool``, its distinct strings by first use.
 
-    Strings are numbered by first use: over the rows in stored order, and within a row by field.
+    Strings are numbered by first use: over the rows in stored order, and within a row by field. A chunk is one
+    array, bounded by the chunk size, so a task holds each record once and sorts no rows per field.
     """
-    fields = F.array(
-        *[
-            F.struct(F.lit(k).alias("field"), F.col(name).alias("value"))
-            for k, name in enumerate(POOLED_FIELDS)
-        ]
-    )
-    rows = stored_order(records.repartition("chunk_id")).select(
-        "chunk_id", "seq", "row_pos", F.inline(fields)
-    )
-    use = F.when(F.col("value").isNotNull(), F.col("row_pos").cast("bigint") * len(POOLED_FIELDS) + F.col("field"))
-    rows = rows.withColumn("use", use)
-    first = F.min("use").over(W.partitionBy("chunk_id", "value"))
-    number = F.dense_rank().over(W.partitionBy("chunk_id").orderBy(F.col("first_use").asc_nulls_last())) - 1
-    return rows.withColumn("first_use", first).withColumn(
-        "string_id", F.when(F.col("value").isNotNull(), number)
-    )
+    stored = F.sort_array(F.collect_list(F.struct("token_count", "opened_seq", "seq", *POOLED_FIELDS)))
+    fields = F.flatten(F.transform("stored", lambda r: F.array(*[r[name] for name in POOLED_FIELDS])))
+    chunks = records.groupBy("chunk_id").agg(stored.alias("stored"))
+    return chunks.withColumn("pool", F.array_distinct(F.array_compact(fields)))
 
 
 def string_pool(records: DataFrame) -> DataFrame:
     """``chunk_id, string_id, value``: the distinct strings of each chunk."""
-    return _field_rows(records).where(F.col("use") == F.col("first_use")).select("chunk_id", "string_id", "value")
+    return _chunk_pools(records).select("chunk_id", F.posexplode("pool").alias("string_id", "value"))
 
 
 def encode_strings(records: DataFrame) -> DataFrame:
     """``chunk_id, seq, row_pos`` and the number of the string of each pooled field; null stays null."""
-    numbers = [
-        F.max(F.when(F.col("field") == k, F.col("string_id"))).alias(f"{name}_id")
-        for k, name in enumerate(POOLED_FIELDS)
-    ]
-    return _field_rows(records).groupBy("chunk_id", "seq", "row_pos").agg(*numbers)
+
+    def numbered(r: Column, k: Column) -> Column:
+        numbers = [
+            (F.array_position("pool", r[name]) - 1).cast("int").alias(f"{name}_id") for name in POOLED_FIELDS
+        ]
+        return F.struct(r["seq"].alias("seq"), k.alias("row_pos"), *numbers)
+
+    return _chunk_pools(records).select("chunk_id", F.inline(F.transform("stored", numbered)))
 
 
 def resolve_strings(encoded: DataFrame, strings: DataFrame) -> DataFrame:

@@ -115,6 +115,25 @@ def test_encoding_shuffles_once_per_table(records):
     assert plan.split("InMemoryTableScan")[0].count("Exchange") == 1
 
 
+def test_pools_hold_each_record_once(spark):
+    """No task sorts or numbers one row per record and field: its memory would be many times its share of the input."""
+    rows = [(c, k, None if k % 4 == 0 else f"h{k % 5}", f"s{c}-{k}", "n") for c in (0, 1, None) for k in (2, 3, 3, 0, 1)]
+    records = spark.createDataFrame(rows, "chunk_id long, seq long, hostname string, structured_data string, node_id string").select(
+        "*", F.lit(2).alias("token_count"), (-F.col("seq")).alias("opened_seq"), *[F.lit(None).cast("string").alias(f) for f in ("app_name", "procid", "msgid")]
+    )
+    pool, encoded = encode.string_pool(records), encode.encode_strings(records)
+    plan = encode.resolve_strings(encoded, pool)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Expand" not in plan
+    pools = {(r.chunk_id, r.string_id): r.value for r in pool.collect()}
+    assert [pools[None, k] for k in range(7)] == ["h3", "sNone-3", "n", "h2", "sNone-2", "h1", "sNone-1"] and len(pools) == 3 * 8
+    got = sorted((repr(r.chunk_id), r.row_pos, r.seq, pools.get((r.chunk_id, r.hostname_id)), r.app_name_id, pools[r.chunk_id, r.structured_data_id]) for r in encoded.collect())
+    assert got == [
+        (repr(c), i, k, None if k == 0 else f"h{k}", None, f"s{c}-{k}") for c in (0, 1, None) for i, k in enumerate((3, 3, 2, 1, 0))
+    ]
+    resolved = encode.resolve_strings(encoded, pool).where("chunk_id = 1").collect()
+    assert sorted((r.seq, r.hostname, r.procid) for r in resolved) == [(0, "-", "-"), (1, "h1", "-"), (2, "h2", "-"), (3, "h3", "-"), (3, "h3", "-")]
+
+
 def test_gaps_and_back(records):
     gaps = encode.arrival_gaps(records)
     back = encode.times_from_gaps(gaps.drop("event_ms"))
