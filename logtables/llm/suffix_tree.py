@@ -7,7 +7,9 @@ Successors with a share ``LEAST_PAIR`` of all tokens are listed with their conte
 most 1 / share contexts and successors of each length whatever the size of the corpus, and the tree
 may be sent to every task. All shares are arguments of :func:`train`. The root is the distribution
 of single words over the whole vocabulary, which is not bounded: words below a share stay in a table
-and meet the texts by a join.
+and meet the texts by a join. So do, with ``whole``, all successors that are not listed: the scores are
+then those of a tree that lists every successor. The logarithm of what a successor adds to its suffix
+depends on context and word alone, so a token takes one addend of each level that does not list it.
 """
 
 from __future__ import annotations
@@ -15,12 +17,13 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtables.llm.staging import session_of, stage
@@ -87,11 +90,21 @@ class Tree:
     levels: list[Level]
     #: Tells trees apart in workers, which outlive them.
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
+    #: For each level ``key``, ``name``, ``n`` and ``parent`` of the successors that it does not list. A key is
+    #: context * slots + word + 1; words without a number have place 0 and their name, others an empty name.
+    rest: list[DataFrame] = field(default_factory=list)
 
     @property
     def unseen(self) -> float:
         return 0.5 / (self.n_tokens + 0.5 * (self.n_words + 1))
 
+    @property
+    def slots(self) -> int:
+        return len(self.words) + 1
+
+    def root_of(self, n: Column) -> Column:
+        return (n + 0.5) / F.lit(self.n_tokens + 0.5 * (self.n_words + 1))
+
 
 def _lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """The place of each wanted key, -1 where there is none."""
@@ -146,7 +159,13 @@ def _ids(broadcast) -> dict[bytes, int]:
 
 
 def _share_out(spark, tree: Tree):
-    return spark.sparkContext.broadcast((tree.name, tree))
+    return spark.sparkContext.broadcast((tree.name, replace(tree, rest=[])))
+
+
+def _names_at(places: np.ndarray, starts: np.ndarray, tokens: list[list[bytes]]) -> list[bytes]:
+    """The words at these places."""
+    of = np.searchsorted(starts, places, "right") - 1
+    return [tokens[t][p] for t, p in zip(of.tolist(), (places - starts[of]).tolist())]
 
 
 def _bound(share: float, n_tokens: int) -> float:
@@ -154,35 +173,106 @@ def _bound(share: float, n_tokens: int) -> float:
     return max(2.0, share * n_tokens) if share else 1.0
 
 
-def _count_successors(texts: DataFrame, tree: Tree, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys (context * words + word) and counts for the contexts of the last level, of those that
-    make up ``least`` tokens."""
-    shared, n_ids = _share_out(texts.sparkSession, tree), len(tree.words)
+def _count_successors(texts: DataFrame, shared, whole: bool) -> DataFrame:
+    """``key``, ``name`` and ``n`` of all that follows the contexts of the last level; without ``whole``
+    of words that have a number only."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, levels, keys, size = _ids(shared), shared.value[1].levels, [], 0
+        ids, tree, keys, names, size = _ids(shared), shared.value[1], [], Counter(), 0
 
         def tally() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate(keys), return_counts=True)
-            return pa.record_batch([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
+            every = np.concatenate([key, np.fromiter((k for k, _ in names), np.int64, len(names))])
+            counts = np.concatenate([n.astype(np.int64), np.fromiter(names.values(), np.int64, len(names))])
+            name = pa.array([b""] * len(key) + [w for _, w in names], pa.binary()).cast(pa.string())
+            return pa.record_batch([pa.array(every), name, pa.array(counts)], names=["key", "name", "n"])
 
         for batch in batches:
-            codes, starts, _ = _codes(batch.column(0).to_pylist(), ids)
-            *_, (context, _) = _walk(codes, starts, levels, n_ids)
+            codes, starts, tokens = _codes(batch.column(0).to_pylist(), ids)
+            *_, (context, _) = _walk(codes, starts, tree.levels, len(tree.words))
             some = (context >= 0) & (codes >= 0)
-            keys.append(context[some] * n_ids + codes[some])
+            keys.append(context[some] * tree.slots + codes[some] + 1)
             size += len(keys[-1])
-            if size > KEYS:
+            if whole:
+                places = np.flatnonzero((context >= 0) & (codes < 0))
+                names.update(zip((context[places] * tree.slots).tolist(), _names_at(places, starts, tokens)))
+            if size > KEYS or len(names) > TALLY:
                 yield tally()
-                keys, size = [], 0
-        if size:
+                keys, names, size = [], Counter(), 0
+        if keys:
             yield tally()
 
-    counted = texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    table = counted.toArrow()
+    return texts.mapInArrow(count, "key long, name string, n long").groupBy("key", "name").agg(F.sum("n").alias("n"))
+
+
+def _listed(counted: DataFrame, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys (context * words + word) and counts."""
+    table = counted.select("key", "n").toArrow()
     key, n = table["key"].to_numpy().astype(np.int64), table["n"].to_numpy().astype(np.int64)
     order = np.argsort(key)
-    return key[order], n[order]
+    context, word = key[order] // tree.slots, key[order] % tree.slots - 1
+    return context * len(tree.words) + word, n[order]
+
+
+def _rest(unlisted: DataFrame, tree: Tree, shared, words: DataFrame) -> DataFrame:
+    """The unlisted successors of the last level with ``parent``, their probability after the suffix."""
+    depth = len(tree.levels)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = shared.value[1]
+        level = tree.levels[depth - 1]
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            context, word = key // tree.slots, key % tree.slots - 1
+            below, known = context if level.suffix is None else level.suffix[context], word >= 0
+            parent = np.ones(len(key))
+            parent[known] = _probability(tree, depth - 1, below[known], word[known])
+            columns = [*batch.columns, pa.array(below * tree.slots + word + 1), pa.array(parent)]
+            yield pa.record_batch(columns, names=["key", "name", "n", "below", "parent"])
+
+    fields = "key long, name string, n long, below long, parent double"
+    if depth == 1:
+        numbered = unlisted.where("name = ''").mapInArrow(add, fields).select("key", "name", "n", "parent")
+        root = words.select(F.col("word").alias("name"), tree.root_of(F.col("n")).alias("parent"))
+        found = numbered.unionByName(unlisted.where("name != ''").join(root, "name"))
+    else:
+        # What the level below does not list either has its probability there; else the tree tells.
+        lower = _settled(tree.rest[-1], shared, depth - 1, 0).select(F.col("key").alias("below"), "name", "p")
+        found = unlisted.mapInArrow(add, fields).join(lower, ["below", "name"], "left").withColumn("parent", F.coalesce("p", "parent"))
+    return stage(found.select("key", "name", "n", "parent"), "rest")
+
+
+def _settled(rest: DataFrame, shared, depth: int, moved: int) -> DataFrame:
+    """``key`` moved by a number, ``name``, the probability ``p`` after the context, and ``more``: its log10 less that
+    of what the context leaves to its suffix; 0 for contexts that do not stay."""
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = shared.value[1]
+        level = tree.levels[depth - 1]
+        for batch in batches:
+            key, n, parent = (batch.column(k).to_numpy() for k in (0, 2, 3))
+            context = key // tree.slots
+            left = level.kept[context] * parent
+            p = np.where(level.kept[context] < 1, (n - DISCOUNT) / level.totals[context] + left, parent)
+            columns = [pa.array(key + moved), batch.column(1), pa.array(p), pa.array(np.log10(p / left))]
+            yield pa.record_batch(columns, names=["key", "name", "p", "more"])
+
+    return rest.mapInArrow(settle, "key long, name string, p double, more double")
+
+
+def _moves(tree: Tree) -> list[int]:
+    """By what the keys of each level are moved, so that those of all levels differ."""
+    return [tree.slots * sum(len(x.kept) for x in tree.levels[:k]) for k in range(len(tree.levels))]
+
+
+def _sums(rest: DataFrame, tree: Tree, size: int) -> list[np.ndarray]:
+    """For each context of the last level the number of unlisted successors, and the sums of their counts, of
+    their parents' probabilities and of counts times the bits by which logs of counts exceed those of parents."""
+    context = F.expr(f"key div {tree.slots}").alias("context")
+    bits = F.col("n") * (F.log2(F.col("n").cast("double")) - F.log2("parent"))
+    table = rest.groupBy(context).agg(F.count("*"), F.sum("n"), F.sum("parent"), F.sum(bits)).toArrow()
+    at = table.column(0).to_numpy().astype(np.int64)
+    return [np.bincount(at, table.column(k).to_numpy().astype(np.float64), size) for k in range(1, 5)]
 
 
 def _probability(tree: Tree, depth: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -203,6 +293,7 @@ def train(
     least_context: float = LEAST_CONTEXT,
     least_pair: float = LEAST_PAIR,
     divergence: float = DIVERGENCE,
+    whole: bool = False,
 ) -> tuple[Tree, DataFrame]:
     """The tree of the one column ``text``, and the table ``word``, ``n`` of all its words.
 
@@ -211,6 +302,10 @@ def train(
     successors diverge by less than ``divergence`` bits leave them to their suffixes. A share of 0 leaves out
     nothing: the tree is then that of all counts, and grows with the corpus. Shares above 0 bound what the
     driver and each worker hold; what they leave out is scored by shorter contexts. Null texts are empty.
+
+    With ``whole`` no successor is left out: those below ``least_pair`` and words without a number are kept in
+    tables, count in the divergence of their contexts and in what these leave to their suffixes, and meet the texts
+    by a join. Scores are then those of ``least_word`` and ``least_pair`` 0, if contexts are no rarer than words.
     """
     words = stage(count_words(texts), "words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -229,17 +324,30 @@ def train(
         if not allowed.any():
             tree.levels.pop()
             break
-        keys, n = _count_successors(texts, tree, _bound(least_pair, n_tokens))
+        shared = _share_out(texts.sparkSession, tree)
+        counted, often = _count_successors(texts, shared, whole), F.col("n") >= _bound(least_pair, n_tokens)
+        if whole:
+            counted = stage(counted, "successors")
+            rest = _rest(counted.where(~often | (F.col("name") != "")), tree, shared, words)
+            unlisted, n_unlisted, parents, bits = _sums(rest, tree, len(totals))
+        else:
+            unlisted = n_unlisted = parents = bits = np.zeros(len(totals))
+        keys, n = _listed(counted.where(often & (F.col("name") == "")), tree)
         context, word = keys // len(order), keys % len(order)
         own = n / totals[context]
         parent = _probability(tree, length - 1, context if suffix is None else suffix[context], word)
-        listed, expected = (np.bincount(context, x, len(totals)) for x in (own, parent))
-        rest, rest_expected = np.clip(1 - listed, 1e-12, 1), np.clip(1 - expected, 1e-12, 1)
-        gain = np.bincount(context, own * np.log2(own / parent), len(totals)) + rest * np.log2(rest / rest_expected)
+        every = np.maximum(totals, 1)
+        listed = np.bincount(context, own, len(totals)) + n_unlisted / every
+        expected = np.bincount(context, parent, len(totals)) + parents
+        left, left_expected = np.clip(1 - listed, 1e-12, 1), np.clip(1 - expected, 1e-12, 1)
+        gain = np.bincount(context, own * np.log2(own / parent), len(totals)) + left * np.log2(left / left_expected)
+        gain += (bits - n_unlisted * np.log2(every)) / every
         retained = allowed & (gain >= divergence)
         level.keys = keys
         level.share = np.where(retained[context], (n - DISCOUNT) / totals[context], 0.0)
-        level.kept = 1 - np.bincount(context, level.share, len(totals))
+        level.kept = 1 - np.bincount(context, level.share, len(totals)) - np.where(retained, (n_unlisted - DISCOUNT * unlisted) / every, 0.0)
+        if whole:
+            tree.rest.append(rest)
         # The suffix of an entry: its word after the suffix of its context.
         suffix = word if level.suffix is None else _lookup(tree.levels[-2].keys, level.suffix[context] * len(order) + word)
         totals = np.where(suffix >= 0, n, 0).astype(np.float64)
@@ -253,22 +361,29 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame, text: str = "text") ->
     words, ``score`` by the longest context in the tree, which leaves what it does not list to its
     suffix and at last to the single words. An empty or null text is its end alone. With no training
     texts nothing is known and both scores are what half a count gives. Repeated rows score alike.
-    Columns by the new names are replaced. An empty table gives an empty one.
+    Columns by the new names are replaced. An empty table gives an empty one. Of a tree of ``whole``, tokens that a
+    context does not list meet its table of the others.
     """
     spark = session_of(docs)
-    shared, n_ids = _share_out(spark, tree), len(tree.words)
-    fields = "n_tokens long, n_known long, base double, score double, rare array<struct<word: string, n: long>>"
+    shared, n_ids, moves, whole = _share_out(spark, tree), len(tree.words), _moves(tree), bool(tree.rest)
+    fields = (
+        "n_tokens long, n_known long, base double, score double, rare array<struct<word: string, n: long>>,"
+        "unlisted array<long>, named array<struct<key: long, name: string>>"
+    )
 
     @F.arrow_udf(fields)
     def scored(texts: pa.Array) -> pa.Array:
         ids, own = _ids(shared), shared.value[1]
         codes, starts, tokens = _codes(texts.to_pylist(), ids)
         root = np.where(codes >= 0, own.root[np.maximum(codes, 0)], 1.0)
-        listed = root.copy()
-        for level, (context, entry) in zip(own.levels, _walk(codes, starts, own.levels, n_ids)):
+        listed, keys, at = root.copy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for level, moved, (context, entry) in zip(own.levels, moves, _walk(codes, starts, own.levels, n_ids)):
             kept = np.where(context >= 0, level.kept[np.maximum(context, 0)], 1.0)
             found = np.where(entry >= 0, level.share[np.maximum(entry, 0)], 0.0) if len(level.share) else 0.0
             listed = found + kept * listed
+            if whole:
+                at.append(np.flatnonzero((entry < 0) & (kept < 1)))
+                keys.append(context[at[-1]] * own.slots + codes[at[-1]] + 1 + moved)
         known = codes >= 0
         stops = np.append(starts[1:], len(codes))
         base, best = np.log10(root), np.log10(listed)
@@ -279,11 +394,19 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame, text: str = "text") ->
         for k, start in enumerate(starts.tolist()):
             counts = Counter(tokens[k][p - start] for p in places[bounds[0, k] : bounds[1, k]].tolist())
             rare.append([{"word": w.decode(), "n": n} for w, n in counts.items()])
+        keys, at = np.concatenate(keys), np.concatenate(at)
+        order = np.argsort(at, kind="stable")
+        keys, at = keys[order], at[order]
+        ends, numbered = np.append(starts, len(codes)), codes[at] >= 0
+        offsets = [pa.array(np.searchsorted(x, ends).astype(np.int32)) for x in (at[numbered], at[~numbered])]
+        names = pa.array(_names_at(at[~numbered], starts, tokens), pa.binary()).cast(pa.string())
+        unlisted = pa.ListArray.from_arrays(offsets[0], pa.array(keys[numbered]))
+        named = pa.ListArray.from_arrays(offsets[1], pa.StructArray.from_arrays([pa.array(keys[~numbered]), names], names=["key", "name"]))
         kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
         n_known = sums[2].astype(np.int64) - (0 if has else 1)
         return pa.StructArray.from_arrays(
-            [pa.array(stops - starts), pa.array(n_known), pa.array(sums[0]), pa.array(sums[1]), pa.array(rare, kind)],
-            names=["n_tokens", "n_known", "base", "score", "rare"],
+            [pa.array(stops - starts), pa.array(n_known), pa.array(sums[0]), pa.array(sums[1]), pa.array(rare, kind), unlisted, named],
+            names=["n_tokens", "n_known", "base", "score", "rare", "unlisted", "named"],
         )
 
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -291,11 +414,20 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame, text: str = "text") ->
     rows = stage(docs.select(*own, F.monotonically_increasing_id().alias("_row"), scored.asNondeterministic()(F.col(text)).alias("_s")), "scored")
     rare = rows.select("_row", F.explode("_s.rare").alias("r")).select("_row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
     met = rare.join(words, "word", "left")
-    log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(tree.n_tokens + 0.5 * (tree.n_words + 1)))
-    rest = met.groupBy("_row").agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("known"))
+    base = F.col("times") * F.log10(tree.root_of(F.coalesce("n", F.lit(0))))
+    addends = met.select("_row", base.alias("base"), F.lit(0.0).alias("more"), F.when(F.col("n").isNotNull(), F.col("times")).alias("known"))
+    if whole:
+        none = [F.lit(0.0).alias("base"), "more", F.lit(None).cast("long").alias("known")]
+        for column, named, on in (("unlisted", "name = ''", ["key"]), ("named", "name != ''", ["key", "name"])):
+            met = rows.select("_row", F.explode(f"_s.{column}").alias("key"))
+            met = met.select("_row", "key.*") if column == "named" else met
+            parts = [_settled(x.where(named), shared, k + 1, moves[k]) for k, x in enumerate(tree.rest)]
+            table = reduce(DataFrame.unionByName, parts).where("more > 0").select(*on, "more")
+            addends = addends.unionByName(met.join(table, on).select("_row", *none))
+    rest = addends.groupBy("_row").agg(*[F.sum(x).alias(x) for x in ("base", "more", "known")])
     joined = rows.join(rest, "_row", "left")
-    more = F.coalesce("more", F.lit(0.0))
+    base, more = F.coalesce("base", F.lit(0.0)), F.coalesce("more", F.lit(0.0))
     return joined.select(
         *own, F.col("_s.n_tokens").alias("n_tokens"), (F.col("_s.n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(tree.n_tokens).cast("long").alias("train_tokens"), (F.col("_s.base") + more).alias("base_score"), (F.col("_s.score") + more).alias("score"),
+        F.lit(tree.n_tokens).cast("long").alias("train_tokens"), (F.col("_s.base") + base).alias("base_score"), (F.col("_s.score") + base + more).alias("score"),
     )

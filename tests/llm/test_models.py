@@ -253,5 +253,24 @@ def test_tree_is_that_of_plain_counts(spark, least_context, least_pair, divergen
         assert got[text] == {round(sum(math.log10(p(tuple(ws[max(0, k - 3) : k]), w)) for k, w in enumerate(ws)), 6)}
 
 
+@pytest.mark.parametrize("least_word, least_context, least_pair", [(0, 0.004, 0.002), (0.003, 0.004, 0.003), (0.01, 0.01, 0.05)])
+def test_what_a_whole_tree_does_not_list_meets_by_join(spark, least_word, least_context, least_pair):
+    """The scores are those of a tree that lists all successors, of trained and of other texts."""
+    docs, rows = corpus(spark)
+    some = [t for d, t in rows if d is not None and d % 3]
+    texts = docs.where("doc_id % 3 != 0").select("text")
+    tree, words = suffix_tree.train(texts, 3, least_word, least_context, least_pair, 0.02, whole=True)
+    _, p = plain_tree(some, 3, least_context, 0, 0.02)
+    assert len(tree.rest) == len(tree.levels) > 1 and tree.rest[0].count() > 0
+    got = {}
+    for r in suffix_tree.score(docs, tree, words).collect():
+        got.setdefault(r.text, set()).add(round(r.score, 6))
+    for text in {t for _, t in rows}:
+        ws = [*(text or "").lower().split(), ""]
+        assert got[text] == {round(sum(math.log10(p(tuple(ws[max(0, k - 3) : k]), w)) for k, w in enumerate(ws)), 6)}
+    cut = suffix_tree.score(docs, *suffix_tree.train(texts, 3, least_word, least_context, least_pair, 0.02)).collect()
+    assert {round(r.score, 6) for r in cut} != {x for xs in got.values() for x in xs}
+
+
 def names_of(contexts, key, tree):
     return (*contexts[key // len(tree.words)], tree.words[key % len(tree.words)])
