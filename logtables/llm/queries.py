@@ -74,7 +74,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text").withColumn("held_out", crc32_of_id() % 5 == 1)
     tree, words = suffix_tree.train(docs.where("not held_out").select("text"), whole=True)
-    found = suffix_tree.score(docs, tree, words)
+    found = suffix_tree.score(docs, tree, words, keep=["doc_id", "held_out"])
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

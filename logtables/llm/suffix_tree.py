@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtables.llm.staging import session_of, stage
+from logtables.sources.scratch import remove, scratch_dir
 
 DEPTH = 3
 LEAST_WORD = 1e-6
@@ -39,6 +40,8 @@ DISCOUNT = 0.75
 #: Tallies of a task go to the shuffle when they have so many entries.
 TALLY = 400_000
 KEYS = 4_000_000
+#: Spark's option to remove the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The token at the end of each text; no word is empty.
 END = ""
 
@@ -47,6 +50,18 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def _write(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written and read back; the shuffle files of the write go at its end."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """``word``, ``n`` of the one column ``text``, the end of each text included."""
 
@@ -237,19 +252,24 @@ def _rest(unlisted: DataFrame, tree: Tree, shared, words: DataFrame) -> DataFram
         found = numbered.unionByName(unlisted.where("name != ''").join(root, "name"))
     else:
         # What the level below does not list either has its probability there; else the tree tells.
-        lower = _settled(tree.rest[-1], shared, depth - 1, 0).select(F.col("key").alias("below"), "name", "p")
+        last = tree.levels[-1]
+        wanted = np.zeros(len(tree.levels[-2].totals), bool)
+        wanted[last.suffix[last.allowed]] = True
+        lower = _settled(tree.rest[-1], shared, depth - 1, 0, wanted).select(F.col("key").alias("below"), "name", "p")
         found = unlisted.mapInArrow(add, fields).join(lower, ["below", "name"], "left").withColumn("parent", F.coalesce("p", "parent"))
-    return stage(found.select("key", "name", "n", "parent"), "rest")
+    return _write(found.select("key", "name", "n", "parent"), scratch_dir(words.sparkSession, "rest"))
 
 
-def _settled(rest: DataFrame, shared, depth: int, moved: int) -> DataFrame:
+def _settled(rest: DataFrame, shared, depth: int, moved: int, wanted: np.ndarray | None = None) -> DataFrame:
     """``key`` moved by a number, ``name``, the probability ``p`` after the context, and ``more``: its log10 less that
-    of what the context leaves to its suffix; 0 for contexts that do not stay."""
+    of what the context leaves to its suffix; 0 for contexts that do not stay. Of ``wanted`` contexts only, if given."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value[1]
         level = tree.levels[depth - 1]
         for batch in batches:
+            if wanted is not None:
+                batch = batch.filter(pa.array(wanted[batch.column(0).to_numpy() // tree.slots]))
             key, n, parent = (batch.column(k).to_numpy() for k in (0, 2, 3))
             context = key // tree.slots
             left = level.kept[context] * parent
@@ -307,7 +327,7 @@ def train(
     tables, count in the divergence of their contexts and in what these leave to their suffixes, and meet the texts
     by a join. Scores are then those of ``least_word`` and ``least_pair`` 0, if contexts are no rarer than words.
     """
-    words = stage(count_words(texts), "words")
+    words = _write(count_words(texts), scratch_dir(texts.sparkSession, "words"))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_tokens, n_words = int(total[0]), int(total[1])
     often = words.where((F.col("n") >= least_word * n_tokens) | (F.col("word") == END)).toArrow()
@@ -327,12 +347,15 @@ def train(
         shared = _share_out(texts.sparkSession, tree)
         counted, often = _count_successors(texts, shared, whole), F.col("n") >= _bound(least_pair, n_tokens)
         if whole:
-            counted = stage(counted, "successors")
+            staged = scratch_dir(texts.sparkSession, "successors")
+            counted = _write(counted, staged)
             rest = _rest(counted.where(~often | (F.col("name") != "")), tree, shared, words)
             unlisted, n_unlisted, parents, bits = _sums(rest, tree, len(totals))
         else:
             unlisted = n_unlisted = parents = bits = np.zeros(len(totals))
         keys, n = _listed(counted.where(often & (F.col("name") == "")), tree)
+        if whole:
+            remove(texts.sparkSession, staged)
         context, word = keys // len(order), keys % len(order)
         own = n / totals[context]
         parent = _probability(tree, length - 1, context if suffix is None else suffix[context], word)
@@ -354,8 +377,8 @@ def train(
     return tree, words
 
 
-def score(docs: DataFrame, tree: Tree, words: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
+def score(docs: DataFrame, tree: Tree, words: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns ``keep``, with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     Both scores are sums of log10 over the words and the end of the whole text: ``base_score`` by single
     words, ``score`` by the longest context in the tree, which leaves what it does not list to its
@@ -410,22 +433,25 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame, text: str = "text") ->
         )
 
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    own = [c for c in docs.columns if c not in (*new, "_row", "_s")]
+    own = [c for c in (docs.columns if keep is None else keep) if c not in (*new, "_row", "_s")]
     rows = stage(docs.select(*own, F.monotonically_increasing_id().alias("_row"), scored.asNondeterministic()(F.col(text)).alias("_s")), "scored")
     rare = rows.select("_row", F.explode("_s.rare").alias("r")).select("_row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
     met = rare.join(words, "word", "left")
     base = F.col("times") * F.log10(tree.root_of(F.coalesce("n", F.lit(0))))
-    addends = met.select("_row", base.alias("base"), F.lit(0.0).alias("more"), F.when(F.col("n").isNotNull(), F.col("times")).alias("known"))
+    known = F.when(F.col("n").isNotNull(), F.col("times"))
+    addends = met.groupBy("_row").agg(F.sum(base).alias("base"), F.lit(0.0).alias("more"), F.sum(known).alias("known"))
     if whole:
-        none = [F.lit(0.0).alias("base"), "more", F.lit(None).cast("long").alias("known")]
+        # One table after the other, so that the disk holds the shuffle of one join.
+        addends = _write(addends, scratch_dir(spark, "addends"))
         for column, named, on in (("unlisted", "name = ''", ["key"]), ("named", "name != ''", ["key", "name"])):
             met = rows.select("_row", F.explode(f"_s.{column}").alias("key"))
             met = met.select("_row", "key.*") if column == "named" else met
             parts = [_settled(x.where(named), shared, k + 1, moves[k]) for k, x in enumerate(tree.rest)]
             table = reduce(DataFrame.unionByName, parts).where("more > 0").select(*on, "more")
-            addends = addends.unionByName(met.join(table, on).select("_row", *none))
-    rest = addends.groupBy("_row").agg(*[F.sum(x).alias(x) for x in ("base", "more", "known")])
-    joined = rows.join(rest, "_row", "left")
+            sums = met.join(table, on).groupBy("_row").agg(F.lit(0.0).alias("base"), F.sum("more").alias("more"), F.lit(None).cast("long").alias("known"))
+            addends = addends.unionByName(_write(sums, scratch_dir(spark, "addends")))
+        addends = addends.groupBy("_row").agg(*[F.sum(x).alias(x) for x in ("base", "more", "known")])
+    joined = rows.join(addends, "_row", "left")
     base, more = F.coalesce("base", F.lit(0.0)), F.coalesce("more", F.lit(0.0))
     return joined.select(
         *own, F.col("_s.n_tokens").alias("n_tokens"), (F.col("_s.n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
