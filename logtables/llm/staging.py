@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,20 +12,30 @@ from logtables.sources.scratch import scratch_dir
 
 #: Arrow batches end at this many rows, so that a batch of long texts fits in a Python worker.
 BATCH_ROWS = 500
+#: Spark's option to remove the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows, for jobs that run within."""
-    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _option(spark: SparkSession, option: str, value: str) -> Iterator[None]:
     before = spark.conf.get(option)
-    spark.conf.set(option, str(rows))
+    spark.conf.set(option, value)
     try:
         yield
     finally:
         spark.conf.set(option, before)
 
 
+def arrow_rows(spark: SparkSession, rows: int) -> AbstractContextManager[None]:
+    """Arrow batches of at most ``rows`` rows, for jobs that run within."""
+    return _option(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def shuffles_removed(spark: SparkSession) -> AbstractContextManager[None]:
+    """The shuffle files of each query that runs within go at its end."""
+    return _option(spark, CLEANUP, "true")
+
+
 def session_of(df: DataFrame) -> SparkSession:
     """The session of ``df``, with Arrow batches small enough for long texts."""
     spark = df.sparkSession
@@ -33,11 +43,11 @@ def session_of(df: DataFrame) -> SparkSession:
     return spark
 
 
-def stage(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: later steps see the same rows, and
-    a lost executor costs no earlier step."""
+def stage(df: DataFrame, purpose: str, **options: str) -> DataFrame:
+    """``df`` written once, with these options, to the shared folder and read back: later steps see the same rows,
+    and a lost executor costs no earlier step."""
     path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtables.llm.staging import session_of, stage
+from logtables.llm.staging import session_of, shuffles_removed, stage
 from logtables.sources.scratch import remove, scratch_dir
 
 DEPTH = 3
@@ -40,8 +40,6 @@ DISCOUNT = 0.75
 #: Tallies of a task go to the shuffle when they have so many entries.
 TALLY = 400_000
 KEYS = 4_000_000
-#: Spark's option to remove the shuffle files of a query at its end.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The token at the end of each text; no word is empty.
 END = ""
 
@@ -53,12 +51,8 @@ def _words(text: str | None) -> list[bytes]:
 def _write(df: DataFrame, path: str) -> DataFrame:
     """``df`` written and read back; the shuffle files of the write go at its end."""
     spark = df.sparkSession
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with shuffles_removed(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtables.llm.staging import BATCH_ROWS, arrow_rows, stage
+from logtables.llm.staging import BATCH_ROWS, arrow_rows, shuffles_removed, stage
 
 VERSION = b"WARC/1.0\r\n"
 END = b"\r\n\r\n"
@@ -126,7 +126,7 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
             yield pa.record_batch([pa.array(found, pa.binary())], names=["record"])
 
     written = joined.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value"))
-    with arrow_rows(pages.sparkSession, BATCH_ROWS):
+    with arrow_rows(pages.sparkSession, BATCH_ROWS), shuffles_removed(pages.sparkSession):
         written.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -223,10 +223,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per page of archives by :func:`write_warc`: ``page_id`` (as text, null if it was null),
     ``record_type``, ``payload``, ``payload_bytes``, ``payload_digest``, ``refers_to`` (page id) and ``fault``.
 
-    A revisit has the length and digest of the response it refers to; its payload stays there.
+    A revisit has the length and digest of the response it refers to; its payload stays there. The disk holds
+    payloads in the shuffle of the segments and in the table of pages, and after that in the table alone.
     """
-    with arrow_rows(spark, FILES_PER_BATCH):
-        pages = stage(reassemble(read_records(spark, path)), "pages")
+    with arrow_rows(spark, FILES_PER_BATCH), shuffles_removed(spark):
+        pages = stage(reassemble(read_records(spark, path)), "pages", compression="zstd")
     named = F.col("record_id").startswith("<urn:page:")
     page = F.url_decode(F.regexp_extract("record_id", r"^<urn:page:(.*):\d+>$", 1))
     full = pages.select(

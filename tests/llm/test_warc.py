@@ -1,5 +1,8 @@
+import glob
 import hashlib
+import os
 
+import pyarrow.parquet as pq
 import pytest
 
 from logtables.llm import warc
@@ -76,3 +79,17 @@ def test_framing():
             warc.unchunked(body)
     with pytest.raises(ValueError):
         list(warc.parse_records(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"))
+
+
+def test_disk_holds_payloads_once(spark):
+    def shuffled():
+        return {f.getName() for f in list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles())) if f.getName().startswith("shuffle_")}
+
+    pages = spark.createDataFrame([(k, "u", f"page {k % 7} " * 50) for k in range(40)], "page_id long, url string, html string").repartition(3)
+    before = shuffled()
+    found = warc.roundtrip(pages, scratch_dir(spark, "warc"))
+    assert not shuffled() - before  # neither those that wrote the archive nor those of its segments
+    (table,) = {os.path.dirname(f) for f in found.select("payload").inputFiles()}
+    groups = [pq.ParquetFile(f).metadata for f in glob.glob(f"{table.removeprefix('file:')}/*.parquet")]
+    assert {m.row_group(0).column(2).compression for m in groups if m.num_row_groups} == {"ZSTD"}
+    assert found.where("payload is not null").count() == 7 and found.count() == 40
