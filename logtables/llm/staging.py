@@ -15,6 +15,9 @@ BATCH_ROWS = 500
 #: Spark's option to remove the shuffle files of a query at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Bytes in the shuffle of a partition that is held for lookups. Spark's advisory size of a partition, as less has no effect.
+HASHED = 64 << 20
+
 
 @contextmanager
 def _option(spark: SparkSession, option: str, value: str) -> Iterator[None]:
@@ -43,6 +46,12 @@ def session_of(df: DataFrame) -> SparkSession:
     return spark
 
 
+def hash_joins(spark: SparkSession) -> AbstractContextManager[None]:
+    """Joins that run within look up rows instead of sorting both sides where no partition of a side has more than
+    ``HASHED`` bytes; Spark sees that from the shuffle, and sorts otherwise."""
+    return _option(spark, "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", str(HASHED))
+
+
 def stage(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     """``df`` written once, with these options, to the shared folder and read back: later steps see the same rows,
     and a lost executor costs no earlier step."""

@@ -15,7 +15,6 @@ depends on context and word alone, so a token takes one addend of each level tha
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -23,10 +22,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtables.llm.staging import session_of, shuffles_removed, stage
+from logtables.llm.staging import hash_joins, session_of, shuffles_removed, stage
 from logtables.sources.scratch import remove, scratch_dir
 
 DEPTH = 3
@@ -37,21 +37,26 @@ LEAST_PAIR = 1e-6
 DIVERGENCE = 0.05
 #: Taken from the count of each listed successor and left to the suffix.
 DISCOUNT = 0.75
-#: Tallies of a task go to the shuffle when they have so many entries.
-TALLY = 400_000
+#: What a task has gathered goes to the shuffle, counted, when it has so many keys or its words so many bytes.
 KEYS = 4_000_000
+WORD_BYTES = 64 << 20
 #: The token at the end of each text; no word is empty.
 END = ""
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z in lower case, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = split.flatten()
+    some = pc.not_equal(pc.binary_length(words), 0)  # blanks at the beginning and the end of a text cut off nothing
+    ends = np.append(0, np.cumsum(some.to_numpy(zero_copy_only=False)))[split.offsets.to_numpy()]
+    return words.filter(some), np.diff(ends)
 
 
 def _write(df: DataFrame, path: str) -> DataFrame:
     """``df`` written and read back; the shuffle files of the write go at its end."""
     spark = df.sparkSession
-    with shuffles_removed(spark):
+    with shuffles_removed(spark), hash_joins(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -60,20 +65,22 @@ def count_words(texts: DataFrame) -> DataFrame:
     """``word``, ``n`` of the one column ``text``, the end of each text included."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tally(counts: Counter) -> pa.RecordBatch:
-            words = pa.array(list(counts), pa.binary()).cast(pa.string())
-            return pa.record_batch([words, pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        def tally() -> pa.RecordBatch:
+            counts = pa.chunked_array(parts, pa.string()).value_counts()
+            word = pa.concat_arrays([counts.field("values"), pa.array([END])])
+            return pa.record_batch([word, pa.concat_arrays([counts.field("counts"), pa.array([n_ends])])], names=["word", "n"])
 
-        counts: Counter = Counter()
+        parts, size, n_ends = [], 0, 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(_words(text))
-                counts[END.encode()] += 1
-                if len(counts) > TALLY:
-                    yield tally(counts)
-                    counts = Counter()
-        if counts:
-            yield tally(counts)
+            words, lengths = _words(batch.column(0))
+            parts.append(words)
+            size += words.nbytes
+            n_ends += len(lengths)
+            if size > WORD_BYTES:
+                yield tally()
+                parts, size, n_ends = [], 0, 0
+        if n_ends:
+            yield tally()
 
     return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -119,19 +126,38 @@ def _lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """The place of each wanted key, -1 where there is none."""
     if not len(keys):
         return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+    order = np.argsort(wanted)  # in order each search begins where the last one ended
+    ordered = wanted[order]
+    at = np.minimum(np.searchsorted(keys, ordered), len(keys) - 1)
+    found = np.empty(len(wanted), np.int64)
+    found[order] = np.where(keys[at] == ordered, at, -1)
+    return found
+
+
+@dataclass
+class Tokens:
+    """All tokens of some texts: their numbers, -1 for words that have none; where texts begin; and their places
+    among the different words, -1 for the end of a text."""
+
+    codes: np.ndarray
+    starts: np.ndarray
+    place: np.ndarray
+    words: pa.Array
+
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, "right") - 1
 
 
-def _codes(texts: list[str | None], ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Numbers of all tokens, -1 for words that have none; where texts begin; the words."""
-    tokens = [_words(t) for t in texts]
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
-    stops = np.cumsum(lengths)
-    codes = np.full(stops[-1] if len(stops) else 0, ids[END.encode()], np.int64)
-    for words, stop in zip(tokens, stops.tolist()):
-        codes[stop - 1 - len(words) : stop - 1] = np.fromiter(map(ids.get, words, repeat(-1)), np.int64, len(words))
-    return codes, stops - lengths, tokens
+def _codes(texts: pa.Array, ids: dict[str, int]) -> Tokens:
+    words, lengths = _words(texts)
+    encoded = words.dictionary_encode()
+    stops = np.cumsum(lengths + 1)
+    place = np.full(stops[-1] if len(stops) else 0, -1, np.int64)
+    inside = np.ones(len(place), bool)
+    inside[stops - 1] = False
+    place[inside] = encoded.indices.to_numpy()
+    numbers = np.fromiter(map(ids.get, encoded.dictionary.to_numpy(zero_copy_only=False), repeat(-1)), np.int64, len(encoded.dictionary))
+    return Tokens(np.append(numbers, ids[END])[place], stops - lengths - 1, place, encoded.dictionary)
 
 
 def _after(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -156,14 +182,14 @@ def _walk(codes: np.ndarray, starts: np.ndarray, levels: list[Level], n_ids: int
         below = entry
 
 
-_IDS: dict[str, dict[bytes, int]] = {}
+_IDS: dict[str, dict[str, int]] = {}
 
 
-def _ids(broadcast) -> dict[bytes, int]:
+def _ids(broadcast) -> dict[str, int]:
     """The numbers of a tree's words, made once per worker."""
     if broadcast.value[0] not in _IDS:
         _IDS.clear()
-        _IDS[broadcast.value[0]] = {w.encode(): k for k, w in enumerate(broadcast.value[1].words)}
+        _IDS[broadcast.value[0]] = {w: k for k, w in enumerate(broadcast.value[1].words)}
     return _IDS[broadcast.value[0]]
 
 
@@ -171,10 +197,12 @@ def _share_out(spark, tree: Tree):
     return spark.sparkContext.broadcast((tree.name, replace(tree, rest=[])))
 
 
-def _names_at(places: np.ndarray, starts: np.ndarray, tokens: list[list[bytes]]) -> list[bytes]:
-    """The words at these places."""
-    of = np.searchsorted(starts, places, "right") - 1
-    return [tokens[t][p] for t, p in zip(of.tolist(), (places - starts[of]).tolist())]
+def _tally(group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs, in order, and how often each occurs."""
+    groups, at = np.unique(group, return_inverse=True)
+    size = int(place.max(initial=0)) + 1
+    pairs, n = np.unique(at * size + place, return_counts=True)
+    return groups[pairs // size], pairs % size, n.astype(np.int64)
 
 
 def _bound(share: float, n_tokens: int) -> float:
@@ -187,27 +215,28 @@ def _count_successors(texts: DataFrame, shared, whole: bool) -> DataFrame:
     of words that have a number only."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tree, keys, names, size = _ids(shared), shared.value[1], [], Counter(), 0
+        ids, tree, keys, named, words, size, held = _ids(shared), shared.value[1], [], [], [], 0, 0
 
         def tally() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate(keys), return_counts=True)
-            every = np.concatenate([key, np.fromiter((k for k, _ in names), np.int64, len(names))])
-            counts = np.concatenate([n.astype(np.int64), np.fromiter(names.values(), np.int64, len(names))])
-            name = pa.array([b""] * len(key) + [w for _, w in names], pa.binary()).cast(pa.string())
-            return pa.record_batch([pa.array(every), name, pa.array(counts)], names=["key", "name", "n"])
+            encoded = pa.chunked_array(words, pa.string()).combine_chunks().dictionary_encode()
+            of, place, times = _tally(np.concatenate(named), encoded.indices.to_numpy().astype(np.int64))
+            name = pa.concat_arrays([pa.repeat("", len(key)), encoded.dictionary.take(pa.array(place))])
+            return pa.record_batch([pa.array(np.append(key, of)), name, pa.array(np.append(n.astype(np.int64), times))], names=["key", "name", "n"])
 
         for batch in batches:
-            codes, starts, tokens = _codes(batch.column(0).to_pylist(), ids)
-            *_, (context, _) = _walk(codes, starts, tree.levels, len(tree.words))
-            some = (context >= 0) & (codes >= 0)
-            keys.append(context[some] * tree.slots + codes[some] + 1)
-            size += len(keys[-1])
-            if whole:
-                places = np.flatnonzero((context >= 0) & (codes < 0))
-                names.update(zip((context[places] * tree.slots).tolist(), _names_at(places, starts, tokens)))
-            if size > KEYS or len(names) > TALLY:
+            tokens = _codes(batch.column(0), ids)
+            *_, (context, _) = _walk(tokens.codes, tokens.starts, tree.levels, len(tree.words))
+            some = (context >= 0) & (tokens.codes >= 0)
+            keys.append(context[some] * tree.slots + tokens.codes[some] + 1)
+            at = np.flatnonzero((context >= 0) & (tokens.codes < 0)) if whole else np.zeros(0, np.int64)
+            named.append(context[at] * tree.slots)
+            words.append(tokens.words.take(pa.array(tokens.place[at])))
+            size += len(keys[-1]) + len(at)
+            held += words[-1].nbytes
+            if size > KEYS or held > WORD_BYTES:
                 yield tally()
-                keys, names, size = [], Counter(), 0
+                keys, named, words, size, held = [], [], [], 0, 0
         if keys:
             yield tally()
 
@@ -233,7 +262,7 @@ def _rest(unlisted: DataFrame, tree: Tree, shared, words: DataFrame) -> DataFram
         for batch in batches:
             key = batch.column(0).to_numpy()
             context, word = key // tree.slots, key % tree.slots - 1
-            below, known = context if level.suffix is None else level.suffix[context], word >= 0
+            below, known = level.suffix[context], word >= 0
             parent = np.ones(len(key))
             parent[known] = _probability(tree, depth - 1, below[known], word[known])
             columns = [*batch.columns, pa.array(below * tree.slots + word + 1), pa.array(parent)]
@@ -241,7 +270,9 @@ def _rest(unlisted: DataFrame, tree: Tree, shared, words: DataFrame) -> DataFram
 
     fields = "key long, name string, n long, below long, parent double"
     if depth == 1:
-        numbered = unlisted.where("name = ''").mapInArrow(add, fields).select("key", "name", "n", "parent")
+        single = pa.table({"word": np.arange(1, tree.slots), "parent": tree.root})
+        single = words.sparkSession.createDataFrame(single)
+        numbered = unlisted.where("name = ''").join(single, F.expr(f"key % {tree.slots}") == F.col("word")).select("key", "name", "n", "parent")
         root = words.select(F.col("word").alias("name"), tree.root_of(F.col("n")).alias("parent"))
         found = numbered.unionByName(unlisted.where("name != ''").join(root, "name"))
     else:
@@ -249,29 +280,22 @@ def _rest(unlisted: DataFrame, tree: Tree, shared, words: DataFrame) -> DataFram
         last = tree.levels[-1]
         wanted = np.zeros(len(tree.levels[-2].totals), bool)
         wanted[last.suffix[last.allowed]] = True
-        lower = _settled(tree.rest[-1], shared, depth - 1, 0, wanted).select(F.col("key").alias("below"), "name", "p")
+        lower = _settled(tree.rest[-1], tree, depth - 1, 0, wanted).select(F.col("key").alias("below"), "name", "p")
         found = unlisted.mapInArrow(add, fields).join(lower, ["below", "name"], "left").withColumn("parent", F.coalesce("p", "parent"))
     return _write(found.select("key", "name", "n", "parent"), scratch_dir(words.sparkSession, "rest"))
 
 
-def _settled(rest: DataFrame, shared, depth: int, moved: int, wanted: np.ndarray | None = None) -> DataFrame:
+def _settled(rest: DataFrame, tree: Tree, depth: int, moved: int, wanted: np.ndarray) -> DataFrame:
     """``key`` moved by a number, ``name``, the probability ``p`` after the context, and ``more``: its log10 less that
-    of what the context leaves to its suffix; 0 for contexts that do not stay. Of ``wanted`` contexts only, if given."""
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value[1]
-        level = tree.levels[depth - 1]
-        for batch in batches:
-            if wanted is not None:
-                batch = batch.filter(pa.array(wanted[batch.column(0).to_numpy() // tree.slots]))
-            key, n, parent = (batch.column(k).to_numpy() for k in (0, 2, 3))
-            context = key // tree.slots
-            left = level.kept[context] * parent
-            p = np.where(level.kept[context] < 1, (n - DISCOUNT) / level.totals[context] + left, parent)
-            columns = [pa.array(key + moved), batch.column(1), pa.array(p), pa.array(np.log10(p / left))]
-            yield pa.record_batch(columns, names=["key", "name", "p", "more"])
-
-    return rest.mapInArrow(settle, "key long, name string, p double, more double")
+    of what the context leaves to its suffix; 0 for contexts that do not stay. Of ``wanted`` contexts only."""
+    level = tree.levels[depth - 1]
+    at = np.flatnonzero(wanted)
+    contexts = pa.table({"context": at, "total": level.totals[at], "kept": level.kept[at]})
+    left = F.col("kept") * F.col("parent")
+    p = F.when(F.col("kept") < 1, (F.col("n") - F.lit(DISCOUNT)) / F.col("total") + left).otherwise(F.col("parent"))
+    met = rest.join(rest.sparkSession.createDataFrame(contexts), F.expr(f"key div {tree.slots}") == F.col("context"))
+    met = met.select((F.col("key") + moved).alias("key"), "name", p.alias("p"), left.alias("left"))
+    return met.select("key", "name", "p", F.log10(F.col("p") / F.col("left")).alias("more"))
 
 
 def _moves(tree: Tree) -> list[int]:
@@ -391,7 +415,8 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame, text: str = "text", kee
     @F.arrow_udf(fields)
     def scored(texts: pa.Array) -> pa.Array:
         ids, own = _ids(shared), shared.value[1]
-        codes, starts, tokens = _codes(texts.to_pylist(), ids)
+        tokens = _codes(texts, ids)
+        codes, starts = tokens.codes, tokens.starts
         root = np.where(codes >= 0, own.root[np.maximum(codes, 0)], 1.0)
         listed, keys, at = root.copy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for level, moved, (context, entry) in zip(own.levels, moves, _walk(codes, starts, own.levels, n_ids)):
@@ -402,27 +427,25 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame, text: str = "text", kee
                 at.append(np.flatnonzero((entry < 0) & (kept < 1)))
                 keys.append(context[at[-1]] * own.slots + codes[at[-1]] + 1 + moved)
         known = codes >= 0
-        stops = np.append(starts[1:], len(codes))
+        stops = np.append(starts[1:], len(codes))[: len(starts)]
         base, best = np.log10(root), np.log10(listed)
         sums = [np.add.reduceat(x, starts) if len(starts) else np.zeros(0) for x in (base, best, known.astype(np.int64))]
-        has = own.root[ids[END.encode()]] > own.unseen
-        rare, places = [], np.flatnonzero(~known)
-        bounds = np.searchsorted(places, np.stack([starts, stops])) if len(starts) else np.zeros((2, 0), int)
-        for k, start in enumerate(starts.tolist()):
-            counts = Counter(tokens[k][p - start] for p in places[bounds[0, k] : bounds[1, k]].tolist())
-            rare.append([{"word": w.decode(), "n": n} for w, n in counts.items()])
+        has = own.root[ids[END]] > own.unseen
+        places, every = np.flatnonzero(~known), np.arange(len(starts) + 1)
+        of, place, times = _tally(tokens.text_of(places), tokens.place[places])
+        rare = pa.StructArray.from_arrays([tokens.words.take(pa.array(place)), pa.array(times)], names=["word", "n"])
+        rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, every).astype(np.int32)), rare)
         keys, at = np.concatenate(keys), np.concatenate(at)
         order = np.argsort(at, kind="stable")
         keys, at = keys[order], at[order]
         ends, numbered = np.append(starts, len(codes)), codes[at] >= 0
         offsets = [pa.array(np.searchsorted(x, ends).astype(np.int32)) for x in (at[numbered], at[~numbered])]
-        names = pa.array(_names_at(at[~numbered], starts, tokens), pa.binary()).cast(pa.string())
+        names = tokens.words.take(pa.array(tokens.place[at[~numbered]]))
         unlisted = pa.ListArray.from_arrays(offsets[0], pa.array(keys[numbered]))
         named = pa.ListArray.from_arrays(offsets[1], pa.StructArray.from_arrays([pa.array(keys[~numbered]), names], names=["key", "name"]))
-        kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
         n_known = sums[2].astype(np.int64) - (0 if has else 1)
         return pa.StructArray.from_arrays(
-            [pa.array(stops - starts), pa.array(n_known), pa.array(sums[0]), pa.array(sums[1]), pa.array(rare, kind), unlisted, named],
+            [pa.array(stops - starts), pa.array(n_known), pa.array(sums[0]), pa.array(sums[1]), rare, unlisted, named],
             names=["n_tokens", "n_known", "base", "score", "rare", "unlisted", "named"],
         )
 
@@ -440,7 +463,7 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame, text: str = "text", kee
         for column, named, on in (("unlisted", "name = ''", ["key"]), ("named", "name != ''", ["key", "name"])):
             met = rows.select("_row", F.explode(f"_s.{column}").alias("key"))
             met = met.select("_row", "key.*") if column == "named" else met
-            parts = [_settled(x.where(named), shared, k + 1, moves[k]) for k, x in enumerate(tree.rest)]
+            parts = [_settled(x.where(named), tree, k + 1, moves[k], tree.levels[k].kept < 1) for k, x in enumerate(tree.rest)]
             table = reduce(DataFrame.unionByName, parts).where("more > 0").select(*on, "more")
             sums = met.join(table, on).groupBy("_row").agg(F.lit(0.0).alias("base"), F.sum("more").alias("more"), F.lit(None).cast("long").alias("known"))
             addends = addends.unionByName(_write(sums, scratch_dir(spark, "addends")))

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from logtables.llm import language, suffix_tree
@@ -272,5 +273,34 @@ def test_what_a_whole_tree_does_not_list_meets_by_join(spark, least_word, least_
     assert {round(r.score, 6) for r in cut} != {x for xs in got.values() for x in xs}
 
 
+def test_words_are_split_as_bytes_are():
+    texts = ["", None, " a  B\tc\x0b\x0cd\r\n", "\x1c\x1d a\x85b c\u2003 \x00 z", "É ÀB ß İ", "   ", "x", *(f"{chr(c)}a{chr(c)}B" for c in range(300))]
+    plain = [(t or "").encode().lower().split() for t in texts]
+    for array in (pa.array(texts, pa.string()), pa.array(["q q", *texts, "r"], pa.string()).slice(1, len(texts))):
+        words, lengths = suffix_tree._words(array)
+        assert lengths.tolist() == [len(ws) for ws in plain] and [w.encode() for w in words.to_pylist()] == [w for ws in plain for w in ws]
+    assert len(suffix_tree._words(pa.array([], pa.string()))[1]) == 0
+
+
+def test_unlisted_successors_pass_no_python_function(spark):
+    docs, _ = corpus(spark)
+    tree, _ = suffix_tree.train(docs.select("text"), 3, 0.003, 0.004, 0.003, 0.02, whole=True)
+    for k, rest in enumerate(tree.rest):
+        level, wanted = tree.levels[k], np.arange(len(tree.levels[k].totals)) % 2 == 0
+        settled = suffix_tree._settled(rest, tree, k + 1, 7, wanted)
+        plan = settled._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "MapInArrow" not in plan
+        expected = {}
+        for r in rest.collect():
+            context = r.key // tree.slots
+            left = level.kept[context] * r.parent
+            p = (r.n - suffix_tree.DISCOUNT) / level.totals[context] + left if level.kept[context] < 1 else r.parent
+            if wanted[context]:
+                expected[r.key + 7, r.name] = pytest.approx((p, math.log10(p / left)))
+        assert {(r.key, r.name): (r.p, r.more) for r in settled.collect()} == expected != {}
+    option = spark.conf.get("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold")
+    assert option in ("0", "0b")  # set while the operator runs only
+
+
 def names_of(contexts, key, tree):
     return (*contexts[key // len(tree.words)], tree.words[key % len(tree.words)])
