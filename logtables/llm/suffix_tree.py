@@ -18,7 +18,6 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,9 @@ DIVERGENCE = 0.05
 DISCOUNT = 0.75
 #: What a task has gathered goes to the shuffle, counted, when it has so many keys or its words so many bytes.
 KEYS = 4_000_000
-WORD_BYTES = 64 << 20
+WORD_BYTES = 32 << 20
+#: Texts are coded together until they have so many bytes.
+TEXT_BYTES = 2 << 20
 #: The token at the end of each text; no word is empty.
 END = ""
 
@@ -136,28 +137,41 @@ def _lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tokens:
-    """All tokens of some texts: their numbers, -1 for words that have none; where texts begin; and their places
-    among the different words, -1 for the end of a text."""
+    """All tokens of some texts: their numbers, -1 for words that have none; where texts begin; the words in order."""
 
     codes: np.ndarray
     starts: np.ndarray
-    place: np.ndarray
     words: pa.Array
 
     def text_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, at, "right") - 1
 
+    def words_at(self, at: np.ndarray) -> pa.Array:
+        """The words at these places, none of which is the end of a text."""
+        return self.words.take(pa.array(at - self.text_of(at)))
 
-def _codes(texts: pa.Array, ids: dict[str, int]) -> Tokens:
+
+def _codes(texts: pa.Array, numbered: pa.Array, end: int) -> Tokens:
     words, lengths = _words(texts)
-    encoded = words.dictionary_encode()
     stops = np.cumsum(lengths + 1)
-    place = np.full(stops[-1] if len(stops) else 0, -1, np.int64)
-    inside = np.ones(len(place), bool)
+    codes = np.full(stops[-1] if len(stops) else 0, end, np.int64)
+    inside = np.ones(len(codes), bool)
     inside[stops - 1] = False
-    place[inside] = encoded.indices.to_numpy()
-    numbers = np.fromiter(map(ids.get, encoded.dictionary.to_numpy(zero_copy_only=False), repeat(-1)), np.int64, len(encoded.dictionary))
-    return Tokens(np.append(numbers, ids[END])[place], stops - lengths - 1, place, encoded.dictionary)
+    codes[inside] = pc.fill_null(pc.index_in(words, value_set=numbered), -1).to_numpy()
+    return Tokens(codes, stops - lengths - 1, words)
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+    """The first columns of some batches at a time."""
+    parts, size = [], 0
+    for batch in batches:
+        parts.append(batch.column(0))
+        size += batch.nbytes
+        if size >= TEXT_BYTES:
+            yield pa.concat_arrays(parts)
+            parts, size = [], 0
+    if parts:
+        yield pa.concat_arrays(parts)
 
 
 def _after(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -182,14 +196,15 @@ def _walk(codes: np.ndarray, starts: np.ndarray, levels: list[Level], n_ids: int
         below = entry
 
 
-_IDS: dict[str, dict[str, int]] = {}
+_IDS: dict[str, tuple[pa.Array, int]] = {}
 
 
-def _ids(broadcast) -> dict[str, int]:
-    """The numbers of a tree's words, made once per worker."""
+def _ids(broadcast) -> tuple[pa.Array, int]:
+    """A tree's words by their numbers and the number of the end of a text, made once per worker."""
     if broadcast.value[0] not in _IDS:
         _IDS.clear()
-        _IDS[broadcast.value[0]] = {w: k for k, w in enumerate(broadcast.value[1].words)}
+        words = broadcast.value[1].words
+        _IDS[broadcast.value[0]] = pa.array(words, pa.string()), words.index(END)
     return _IDS[broadcast.value[0]]
 
 
@@ -197,12 +212,12 @@ def _share_out(spark, tree: Tree):
     return spark.sparkContext.broadcast((tree.name, replace(tree, rest=[])))
 
 
-def _tally(group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different pairs, in order, and how often each occurs."""
-    groups, at = np.unique(group, return_inverse=True)
-    size = int(place.max(initial=0)) + 1
-    pairs, n = np.unique(at * size + place, return_counts=True)
-    return groups[pairs // size], pairs % size, n.astype(np.int64)
+def _tally(group: np.ndarray, words: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The different pairs, in order of their groups, and how often each occurs."""
+    encoded, (groups, at) = words.dictionary_encode(), np.unique(group, return_inverse=True)
+    size = len(encoded.dictionary) + 1
+    pairs, n = np.unique(at * size + encoded.indices.to_numpy(), return_counts=True)
+    return groups[pairs // size], encoded.dictionary.take(pa.array(pairs % size)), n.astype(np.int64)
 
 
 def _bound(share: float, n_tokens: int) -> float:
@@ -219,19 +234,18 @@ def _count_successors(texts: DataFrame, shared, whole: bool) -> DataFrame:
 
         def tally() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate(keys), return_counts=True)
-            encoded = pa.chunked_array(words, pa.string()).combine_chunks().dictionary_encode()
-            of, place, times = _tally(np.concatenate(named), encoded.indices.to_numpy().astype(np.int64))
-            name = pa.concat_arrays([pa.repeat("", len(key)), encoded.dictionary.take(pa.array(place))])
+            of, name, times = _tally(np.concatenate(named), pa.concat_arrays(words))
+            name = pa.concat_arrays([pa.repeat("", len(key)), name])
             return pa.record_batch([pa.array(np.append(key, of)), name, pa.array(np.append(n.astype(np.int64), times))], names=["key", "name", "n"])
 
-        for batch in batches:
-            tokens = _codes(batch.column(0), ids)
+        for together in _together(batches):
+            tokens = _codes(together, *ids)
             *_, (context, _) = _walk(tokens.codes, tokens.starts, tree.levels, len(tree.words))
             some = (context >= 0) & (tokens.codes >= 0)
             keys.append(context[some] * tree.slots + tokens.codes[some] + 1)
             at = np.flatnonzero((context >= 0) & (tokens.codes < 0)) if whole else np.zeros(0, np.int64)
             named.append(context[at] * tree.slots)
-            words.append(tokens.words.take(pa.array(tokens.place[at])))
+            words.append(tokens.words_at(at))
             size += len(keys[-1]) + len(at)
             held += words[-1].nbytes
             if size > KEYS or held > WORD_BYTES:
@@ -415,7 +429,7 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame, text: str = "text", kee
     @F.arrow_udf(fields)
     def scored(texts: pa.Array) -> pa.Array:
         ids, own = _ids(shared), shared.value[1]
-        tokens = _codes(texts, ids)
+        tokens = _codes(texts, *ids)
         codes, starts = tokens.codes, tokens.starts
         root = np.where(codes >= 0, own.root[np.maximum(codes, 0)], 1.0)
         listed, keys, at = root.copy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -430,17 +444,17 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame, text: str = "text", kee
         stops = np.append(starts[1:], len(codes))[: len(starts)]
         base, best = np.log10(root), np.log10(listed)
         sums = [np.add.reduceat(x, starts) if len(starts) else np.zeros(0) for x in (base, best, known.astype(np.int64))]
-        has = own.root[ids[END]] > own.unseen
+        has = own.root[ids[1]] > own.unseen
         places, every = np.flatnonzero(~known), np.arange(len(starts) + 1)
-        of, place, times = _tally(tokens.text_of(places), tokens.place[places])
-        rare = pa.StructArray.from_arrays([tokens.words.take(pa.array(place)), pa.array(times)], names=["word", "n"])
+        of, word, times = _tally(tokens.text_of(places), tokens.words_at(places))
+        rare = pa.StructArray.from_arrays([word, pa.array(times)], names=["word", "n"])
         rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, every).astype(np.int32)), rare)
         keys, at = np.concatenate(keys), np.concatenate(at)
         order = np.argsort(at, kind="stable")
         keys, at = keys[order], at[order]
         ends, numbered = np.append(starts, len(codes)), codes[at] >= 0
         offsets = [pa.array(np.searchsorted(x, ends).astype(np.int32)) for x in (at[numbered], at[~numbered])]
-        names = tokens.words.take(pa.array(tokens.place[at[~numbered]]))
+        names = tokens.words_at(at[~numbered])
         unlisted = pa.ListArray.from_arrays(offsets[0], pa.array(keys[numbered]))
         named = pa.ListArray.from_arrays(offsets[1], pa.StructArray.from_arrays([pa.array(keys[~numbered]), names], names=["key", "name"]))
         n_known = sums[2].astype(np.int64) - (0 if has else 1)
