@@ -42,10 +42,10 @@ HEADER = ["hostname", "app_name", "procid", "msgid", "structured_data"]
 FAILURE_PATTERN = "Request <*> failed with code <*> after <*> ms"
 
 
-def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines_of(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     # Times are shown and derived in UTC.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return samples.event_lines(spark, sf_dir)
+    return samples.event_lines(spark, sf_dir, dealt)
 
 
 def messages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def micros(name: str, alias: str) -> Column:
 
 def landed(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_dir(spark, "landing")
-    samples.land_lines(lines_of(spark, sf_dir), path)
+    samples.land_lines(lines_of(spark, sf_dir, dealt=True), path, dealt=True)
     return path
 
 

@@ -33,8 +33,10 @@ def mine_templates(messages: DataFrame, threshold: float = THRESHOLD) -> DataFra
     if "template_key" in messages.columns:
         raise ValueError("messages are mined already")
     payload = ["seq", "tokens"] + [c for c in messages.columns if c not in ("seq", "chunk_id")]
+    # Rows are dealt before they are gathered: gathered first, whole tasks would be sorted and their arrays moved.
     groups = (
         tokenize(messages)
+        .repartition("chunk_id", "token_count")
         .groupBy("chunk_id", "token_count")
         .agg(F.sort_array(F.collect_list(F.struct(*payload))).alias("lines"))
         .withColumn("mined", mined_group(F.col("lines"), threshold))
